@@ -23,6 +23,7 @@ import sys
 import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from dossio.llm.common import in_order, scratch_uri
 MAGIC = b"DSSOTOK1"
 END_ID = 2
 #: Entries of each of a worker's two word caches; a full cache is emptied.
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 600_000
 STATS = "shard int, n_docs long, n_tokens long"
 DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -50,6 +51,21 @@ def _known(below: int = 0x2000) -> str:
     return "".join(f"\\u{c:04x}" for c in range(below) if unicodedata.category(chr(c)) not in ("Cn", "Cs") and chr(c) not in "\x1c\x1d\x1e\x1f")
 
 
+class Visible(dict):
+    """How a byte-level vocabulary spells a character: each of its UTF-8 bytes by a visible one.
+
+    Printable Latin-1 bytes stand for themselves, the others for the characters from U+0100 on, in order.
+    """
+
+    def __init__(self):
+        shown = [c for c in range(256) if 0x21 <= c <= 0x7E or 0xA1 <= c <= 0xAC or c >= 0xAE]
+        self.of_byte = {c: chr(c) for c in shown} | {c: chr(0x100 + k) for k, c in enumerate(sorted({*range(256)}.difference(shown)))}
+
+    def __missing__(self, char: str) -> str:
+        self[char] = found = "".join(self.of_byte[b] for b in char.encode())
+        return found
+
+
 class WordEncoder:
     """Encodes through the tokenizers library, a word at a time, keeping the words seen.
 
@@ -72,67 +88,54 @@ class WordEncoder:
         self.odd = re.compile(f"[^{_known()}]").search
         self.loose = re.compile(f" (?:[{space}]|$)").search
         self.dtype = np.dtype("<u2" if self.tok.get_vocab_size() <= 65536 else "<u4")
-        newline = self.tok.encode("\n", add_special_tokens=False).ids
-        self.newline = newline[0] if len(newline) == 1 else None
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.model = self.tok.model
+        self.visible = Visible()
+        self.space = self.visible[" "]
         self.by_word: dict[str, bytes] = {}
         self.by_piece: dict[str, bytes] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        """Encodes unseen words in one call, one line each; words that hold white space go singly."""
-        if len(self.by_word) + len(words) > CACHE_ENTRIES:
-            self.by_word.clear()
-        lines = [w for w in words if "\n" not in w and (len(w) > 1 or not w.isspace()) and not w[1:].isspace()] if self.newline is not None else []
-        if lines:
-            ids = np.array(self.tok.encode("\n".join(lines), add_special_tokens=False).ids, dtype=self.dtype)
-            ends = np.flatnonzero(ids == self.newline)
-            if len(ends) == len(lines) - 1:
-                a = 0
-                size = self.dtype.itemsize
-                raw = ids.tobytes()
-                for w, b in zip(lines, [*ends.tolist(), len(ids)], strict=True):
-                    self.by_word[w] = raw[a * size : b * size]
-                    a = b + 1
-        for w in words:
-            if w not in self.by_word:
-                self.by_word[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
+    def _ids(self, word: str) -> bytes:
+        """The ids of one word that the pre-tokenizer leaves whole, by the library's BPE model."""
+        shown = word.replace(" ", self.space) if word.isascii() and word.isprintable() else "".join(map(self.visible.__getitem__, word))
+        return array(self.code, [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a piece between two spaces, with the space before it."""
+        if piece.isalpha():
+            return self._ids(" " + piece)
+        return b"".join(map(self._word, self.words(" " + piece)))
+
+    def _word(self, word: str) -> bytes:
+        found = self.by_word.get(word)
+        if found is None:
+            if len(self.by_word) >= CACHE_ENTRIES:
+                self.by_word.clear()
+            found = self.by_word[word] = self._ids(word)
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as raw bytes."""
-        out: list = [None] * len(texts)
-        pieces: dict[int, list[str]] = {}
-        words: dict[int, list[str]] = {}
+        split: list = [None] * len(texts)
+        seen: set[str] = set()
         for k, t in enumerate(texts):
-            if not t:
-                out[k] = b""
+            if t and self.plain and not self.odd(t) and not self.loose(t):
+                split[k] = t.split(" ")
+                seen.update(split[k])
+        if len(self.by_piece) + len(seen) > CACHE_ENTRIES:
+            self.by_piece.clear()
+        for p in seen.difference(self.by_piece):
+            self.by_piece[p] = self._piece(p)
+        get, out = self.by_piece.get, []
+        for t, ps in zip(texts, split, strict=True):
+            if ps is not None:
+                out.append(b"".join([*map(self._word, self.words(ps[0])), *map(get, ps[1:])]))
+            elif not t:
+                out.append(b"")
             elif not self.plain or self.odd(t):
-                out[k] = np.array(self.tok.encode(t, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
-            elif self.loose(t):
-                words[k] = self.words(t)
+                out.append(array(self.code, self.tok.encode(t, add_special_tokens=False).ids).tobytes())
             else:
-                pieces[k] = t.split(" ")
-        if len(self.by_piece) > CACHE_ENTRIES:
-            self.by_piece.clear()
-        get = self.by_piece.get
-        new: dict[str, list[str]] = {}
-        first: dict[int, list[str]] = {}
-        for k, ps in pieces.items():
-            first[k] = self.words(ps[0])
-            for p in ps[1:]:
-                if p not in self.by_piece and p not in new:
-                    new[p] = self.words(" " + p)
-        unseen = {w for ws in (*words.values(), *first.values(), *new.values()) for w in ws if w not in self.by_word}
-        if len(self.by_word) + len(unseen) > CACHE_ENTRIES:  # all words of this batch must be there together
-            self.by_word.clear()
-            unseen = {w for ws in (*words.values(), *first.values(), *new.values()) for w in ws}
-        if unseen:
-            self._learn(sorted(unseen))
-        of = self.by_word
-        for p, ws in new.items():
-            self.by_piece[p] = b"".join([of[w] for w in ws])
-        for k, ws in words.items():
-            out[k] = b"".join([of[w] for w in ws])
-        for k, ps in pieces.items():
-            out[k] = b"".join([of[w] for w in first[k]]) + b"".join(map(get, ps[1:]))
+                out.append(b"".join(map(self._word, self.words(t))))
         return out
 
 
