@@ -392,6 +392,8 @@ def judge(tables: DataFrame) -> DataFrame:
     who = identity(c("near_top"), c("parent_id"), c("header_inherited"), F.size("header") > 0, F.lit(False), c("row_count"), c("col_count"))
     t = tables.withColumn("_who", who).withColumn("_on", c("_who.identity") == "CONTINUATION").withColumn("_sim", F.when(c("_on"), F.lit(1.0)).otherwise(0.0))
     ok = is_valid(c("row_count"), c("col_count"), c("structure_score"), c("title"), c("section_hint"), c("_on"), c("is_continuation"), c("toc_context"), c("grid_line_score"), c("weighted_toc_ratio"), c("reference_ratio"))
-    t = t.withColumn("_c", confidence(c("_who.confidence"), c("structure_score"), c("_on"), c("_sim"), F.size(nested_regions(c("cells"))) > 0, c("filled_ratio"), ok, c("toc_context"), c("weighted_toc_ratio")))
+    sure = confidence(c("_who.confidence"), c("structure_score"), c("_on"), c("_sim"), F.size(nested_regions(c("cells"))) > 0, c("filled_ratio"), ok, c("toc_context"), c("weighted_toc_ratio"))
+    # through a generator of one row: the filter below would else be pushed under the grids' projections and spell them all out
+    t = t.withColumn("_c", F.explode(F.array(sure)))
     t = t.withColumns({"identity": c("_who.identity"), "confidence": c("_c.confidence"), "risk_flags": c("_c.risk_flags"), "review_required": c("_c.review_required"), "is_valid": c("_c.is_valid")})
     return t.where(is_accepted(c("is_valid"), c("confidence"))).drop("_who", "_on", "_sim", "_c")
