@@ -11,8 +11,8 @@ the other.  Variants are hashed keys; equal keys meet by grouping, each line is
 of its group only, and the edit distance is verified on the lines themselves.  Members of a group are all
 one edit apart, so the earliest of the groups is the earliest of the neighbours, and no pairs are listed.
 
-Only lines with a possible neighbour make variants: one edit leaves the first or the last quarter or more
-of a line as it is (``anchors``), so a line whose anchors no other line has is alone.
+Where two lines are one edit apart, they agree outside one of SEGMENTS segments.  A line is keyed by each
+way to leave a segment out; only lines that share a key make variants, and only of the segment left out.
 
 Defined results: a null text has no lines; rows that repeat an id and text are one document, so their
 equal lines count once and get the same verdict; ids that are null come first; an empty table gives no
@@ -27,8 +27,7 @@ from pyspark.sql import functions as F
 from dossio.llm.common import cut
 
 LEAST = 16
-#: Anchors are cut to whole multiples of STEP characters, so that lines of neighbouring lengths mostly share them.
-STEP = 8
+SEGMENTS = 6
 #: Rows of a key table that may be broadcast; a larger one is joined by shuffling.
 BROADCAST_ROWS = 1_000_000
 
@@ -43,13 +42,21 @@ def _hashed(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(2), "line")})
 
 
-def _anchors(line):
-    """Hashes of the line's beginnings and ends that an edit may leave, for its own length and the next smaller one."""
+def _frames(line):
+    """array<struct<key,mid>>: each way to leave a segment out, for segments sized by the line's length and by one less.
+
+    With segments of u characters, the beginning has k * u, the end (SEGMENTS - 1 - k) * u, and the middle the rest.
+    """
     n = F.length(line)
-    own, less = (F.greatest(F.lit(STEP), (m / (2 * STEP)).cast("int") * STEP) for m in (n, n - 1))
-    key = lambda end, size: F.xxhash64(F.lit(end), size, F.left(line, size) if end == "a" else F.right(line, size))
-    both = lambda size: F.array(key("a", size), key("z", size))
-    return F.when(own == less, both(own)).otherwise(F.concat(both(own), both(less)))
+    own, less = (n / SEGMENTS).cast("int"), ((n - 1) / SEGMENTS).cast("int")
+
+    def frame(u, k):
+        p, q = u * k, u * (SEGMENTS - 1 - k)
+        key = F.xxhash64(F.lit(k), u, F.left(line, p), F.right(line, q))
+        return F.struct(key.alias("key"), F.substring(line, p + 1, n - p - q).alias("mid"))
+
+    every = lambda u: F.array(*[frame(u, k) for k in range(SEGMENTS)])
+    return F.when(own == less, every(own)).otherwise(F.concat(every(own), every(less)))
 
 
 def _bounded(df: DataFrame) -> DataFrame:
@@ -60,27 +67,27 @@ def _bounded(df: DataFrame) -> DataFrame:
 def _near(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """(h1, h2, near_first): the earliest occurrence of any near line, for lines that have one."""
     long_lines = _hashed(lines.where(F.length("line") >= LEAST).select("line"))
-    keyed = long_lines.select("h1", "h2", "line", F.explode(_anchors(F.col("line"))).alias("key"))
-    shared = cut(keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key"))
-    few = cut(keyed.join(_bounded(shared), "key", "left_semi").groupBy("h1", "h2").agg(F.min("line").alias("line")))
-    owners = cut(few.join(firsts, ["h1", "h2"]).select("h1", "h2", "line", "first"))
-
-    at = F.sequence(F.lit(1), F.length("line"))
-    variant = lambda i: F.xxhash64(F.concat(F.substring("line", F.lit(1), i - 1), F.substring("line", i + 1, F.length("line"))))
-    variants = owners.select("h1", "h2", F.posexplode(F.transform(at, variant)).alias("place", "x"))
+    framed = long_lines.select("h1", "h2", "line", F.explode(_frames(F.col("line"))).alias("f")).select("h1", "h2", "line", "f.key", "f.mid")
+    shared = cut(framed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key"))
+    few = framed.join(_bounded(shared), "key", "left_semi").groupBy("h1", "h2", "key", "mid").agg(F.min("line").alias("line"))
+    owners = cut(few.join(firsts, ["h1", "h2"]).select("h1", "h2", "key", "mid", "line", "first"))
+
+    at = F.sequence(F.lit(1), F.length("mid"))
+    variant = lambda i: F.xxhash64(F.concat(F.substring("mid", F.lit(1), i - 1), F.substring("mid", i + 1, F.length("mid"))))
+    variants = owners.select("h1", "h2", "key", "first", F.posexplode(F.transform(at, variant)).alias("place", "x"))
     # a replacement: the same variant that lacks the same place
-    alike = cut(variants.groupBy("x", "place").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("x", "place"))
-    member = variants.join(_bounded(alike), ["x", "place"]).join(owners.select("h1", "h2", "first"), ["h1", "h2"])
-    lead = member.groupBy("x", "place").agg(F.min(F.struct("first", "h1", "h2")).alias("to"))
-    replaced = member.join(lead, ["x", "place"]).select("h1", "h2", "to")
-    # an insertion: a variant that is another line
-    whole = owners.select(F.col("h1").alias("x"), F.col("h2").alias("w2"), F.col("first").alias("w_first"))
-    put = cut(variants.select("h1", "h2", "x").distinct().join(whole, "x").join(owners.select("h1", "h2", "first"), ["h1", "h2"]))
-    shorter = put.select("h1", "h2", F.struct(F.col("w_first").alias("first"), F.col("x").alias("h1"), F.col("w2").alias("h2")).alias("to"))
-    longer = put.groupBy("x", "w2").agg(F.min(F.struct("first", "h1", "h2")).alias("to")).select(F.col("x").alias("h1"), F.col("w2").alias("h2"), "to")
+    group = ["key", "place", "x"]
+    lead = cut(variants.groupBy(*group).agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min(F.struct("first", "h1", "h2")).alias("to")).where("a <> b").drop("a", "b"))
+    replaced = variants.join(_bounded(lead), group).select("h1", "h2", "to")
+    # an insertion: a variant that is the other line
+    whole = cut(owners.select("key", F.xxhash64("mid").alias("x"), F.struct("first", "h1", "h2").alias("w")))
+    put = cut(variants.select("h1", "h2", "key", "first", "x").distinct().join(_bounded(whole), ["key", "x"]))
+    shorter = put.select("h1", "h2", F.col("w").alias("to"))
+    longer = put.groupBy("w").agg(F.min(F.struct("first", "h1", "h2")).alias("to")).select("w.h1", "w.h2", "to")
 
     found = replaced.unionByName(shorter).unionByName(longer).where("h1 <> to.h1 OR h2 <> to.h2").distinct()
-    mine, theirs = owners.select("h1", "h2", F.col("line").alias("l")), owners.select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), F.col("line").alias("r"))
+    texts = owners.select("h1", "h2", "line").distinct()
+    mine, theirs = texts.select("h1", "h2", F.col("line").alias("l")), texts.select(F.col("h1").alias("t1"), F.col("h2").alias("t2"), F.col("line").alias("r"))
     held = found.join(mine, ["h1", "h2"]).join(theirs, (F.col("to.h1") == F.col("t1")) & (F.col("to.h2") == F.col("t2")))
     return held.where(F.levenshtein("l", "r", 1) >= 0).groupBy("h1", "h2").agg(F.min("to.first").alias("near_first"))
 
