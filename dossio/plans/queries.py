@@ -534,3 +534,30 @@ def two_column_pages(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     w = e.select(F.col("user_id").alias("doc_id"), F.lit(1).alias("page"), F.col("event_id").alias("ordinal"), F.col("value").alias("x0"), F.col("value").alias("x1"), F.lit(0.0).alias("y0"), F.lit(1.0).alias("y1"), F.col("event_type").alias("text"))
     return words.two_column_pages(w, w.select("doc_id", "page", F.lit(100.0).alias("width")).distinct())
+
+
+@query()
+def judged_tables(spark, sf_dir):
+    """Order lines as ruled evidence, normalized, put in context and judged; the accepted tables."""
+    line = order_lines(spark, sf_dir)
+    text = [F.col("l_quantity").cast("int").cast("string"), F.lit(""), F.nullif(F.col("l_returnflag"), F.lit("N")), F.col("l_linestatus"), F.lit(None).cast("string"), F.date_format("l_shipdate", "yyyy-MM-dd")]
+    cells = F.array(*[F.struct(F.lit(k).alias("physical_col"), t.alias("text")) for k, t in enumerate(text)])
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("no", cells.alias("cells")))), lambda r: F.struct(r["no"].alias("physical_row"), r["cells"].alias("cells")))
+    grids = line.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(rows.alias("rows"))
+    t = order_tables(spark, sf_dir).drop("col_count", "title", "section_hint", "header", "column_signature").join(grids, "o_orderkey").withColumn("physical_cols", F.lit(6))
+    none = {"parent_cols": F.lit(None).cast("int"), "parent_header": F.lit(None).cast("array<string>"), "parent_bbox": F.lit(None).cast("array<double>")}
+    made = tables.normalize(tables.near_edges(t).withColumns(none))
+    titles = t.where(F.col("o_orderkey") % 2 == 0).select("doc_id", "page", F.col("o_orderkey").alias("ordinal"), F.array(F.col("bbox")[0], F.col("bbox")[1] - 20, F.col("bbox")[2], F.col("bbox")[1] - 8).alias("bbox"), F.concat(F.lit("Table "), F.col("o_orderkey").cast("string"), F.lit(" lines")).alias("text"))
+    placed = tables.context(made, titles, titles.select("doc_id", "page", "bbox")).withColumn("seq", F.col("o_orderkey"))
+    judged = tables.judge(tables.identity_parents(placed))
+    return judged.select("doc_id", "table_id", "col_count", "row_count", "identity", r6(F.col("confidence")).alias("confidence"), F.size("risk_flags").alias("n_flags"), "review_required", F.array_join("row_texts", "\n").alias("text"))
+
+
+@query()
+def demoted_images(spark, sf_dir):
+    """Boxes of returned lines as images with recovered text; those that are text become blocks."""
+    b = line_boxes(spark, sf_dir).join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("text")), "l_partkey")
+    img = b.where("l_returnflag = 'R'").select("doc_id", "page", "ordinal", F.format_string("img_p1_%03d", "ordinal").alias("image_id"), "bbox", "text", F.lit(0.9).alias("confidence"), F.lit("word-cluster").alias("source"), F.lit(False).alias("has_path"))
+    txt = b.where("l_returnflag <> 'R'").select("doc_id", "page", "ordinal", "bbox", "text", F.lit("text-layer").alias("source"))
+    got = images.demote_textual_images(img, txt, b.select("doc_id", "page", F.lit(600.0).alias("width"), F.lit(800.0).alias("height")).distinct())
+    return got.select("doc_id", "page", F.array_join("kept", ",").alias("kept"), F.size("texts").alias("n_texts"), "n")
