@@ -2,7 +2,7 @@
 
 Parts that by their element, role, class or id aren't the article (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, comments) count as link text in the densities and are left out
-of the result.  For every other node
+of the result.  A class or id alone never drops the article: see _settle.  For every other node
 
     density = C / T * ln(C * T / (LC * LT)) / ln(ln(C / (C - LC) * LC + LCb / Cb * C + e**e))
 
@@ -32,12 +32,18 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that never hold the article's text.
-ASIDE = frozenset("head script style noscript template nav footer aside form button select option textarea input iframe object svg canvas dialog menu title".split())
+ASIDE = frozenset("head script style noscript template nav footer aside button select option textarea input iframe object svg canvas dialog menu title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 #: Parts of a class or id that name what isn't the article.
 NAMES = frozenset(
     "ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies reply respond share sharing sidebar signup skip social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Those of them that name other people's text.
+OTHERS = frozenset("comment comments disqus related replies reply respond".split())
+#: First words of a class that tell what stands beside the text, not what the element is.
+MODIFIERS = frozenset("has with no without".split())
+#: Elements that are no text even on a page that has nothing else.
+TEXTLESS = ASIDE - {"aside", "dialog"}
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 #: A start tag of the first kind closes an open one of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -45,41 +51,103 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 
 
 class Node:
-    __slots__ = ("tag", "up", "down", "aside", "link", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "up", "down", "aside", "named", "link", "chars", "tags", "link_chars", "link_tags", "density")
 
-    def __init__(self, tag: str, up: Node | None, aside: bool, link: bool):
-        self.tag, self.up, self.down, self.aside, self.link = tag, up, [], aside, link
+    def __init__(self, tag: str, up: Node | None, aside: bool, named: int, link: bool):
+        self.tag, self.up, self.down, self.aside, self.named, self.link = tag, up, [], aside, named, link
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
 
 
+def _in_article(up: Node | None) -> bool:
+    while up is not None and up.tag not in ("article", "main"):
+        up = up.up
+    return up is not None
+
+
 def _is_aside(tag: str, attrs: list, up: Node) -> bool:
+    """By its element, role or hiding."""
     if tag in ASIDE:
         return True
-    if tag == "header":
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.up
-        return up is None
-    if tag in ("html", "body", "article", "main"):
-        return tag == "article" and _named(attrs)
-    return _named(attrs)
+    if tag == "header" and not _in_article(up):
+        return True
+    return tag not in ("html", "body", "main") and any(k == "role" and v and v.lower() in ROLES or k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
 
 
-def _named(attrs: list) -> bool:
+def _named(tag: str, attrs: list, up: Node) -> int:
+    """0: it's no form and no class or id names an aside; else how many times the text kept beside it its own must exceed to be the article."""
+    if tag in ("html", "body", "main"):
+        return 0
+    found = int(tag == "form")
     for k, v in attrs:
         if k in ("class", "id") and v:
-            words = {w for part in v.split() for w in SPLIT.split(part.lower())}
-            if words & NAMES:
-                return True
-        elif k == "role" and v and v.lower() in ROLES or k == "hidden" or k == "aria-hidden" and v == "true":
-            return True
-    return False
+            for part in v.split():
+                words = [w for w in SPLIT.split(part.lower()) if w]
+                hit = NAMES.intersection(words)
+                if not hit or words[0] in MODIFIERS or (hit == {"header"} and _in_article(up)):
+                    continue
+                found = max(found, 9 if OTHERS & hit or len(hit) == len(set(words)) else 1)
+    return found
+
+
+def _settle(nodes: list[Node]) -> None:
+    """Decides which named nodes are aside, and hands that down.
+
+    A name is lifted from whatever holds a main element.  In each scope (an article or main element, else the
+    page) it is then lifted from the named node with the most text outside links, if that is more than all the
+    scope keeps without it (nine times, where the name is plain or of others' text), and so on.  Where the page
+    keeps text of an article or main element, only named nodes with such an element inside are tried.
+    """
+    if not any(n.named for n in nodes):
+        return
+    plain, holds = {}, {}
+    for n in reversed(nodes):
+        if n.aside or n.link:
+            plain[n], holds[n] = 0, ""
+            continue
+        below = [x for x in n.down if isinstance(x, Node)]
+        plain[n] = sum(len("".join(x.split())) for x in n.down if isinstance(x, str)) + sum(plain[x] for x in below)
+        inside = {holds[x] for x in below}
+        holds[n] = ("main" if n.tag == "main" or "main" in inside else "article" if n.tag == "article" or "article" in inside else "") if plain[n] else ""
+    for n in nodes:
+        if holds[n] == "main":
+            n.named = 0
+    while True:
+        scope, dropped, kept, tried, found = {}, set(), {}, {}, False
+        for n in nodes:
+            up = n.up
+            scope[n] = n if up is None or n.tag in ("article", "main") else scope[up]
+            if up is not None and up in dropped or n.aside or n.link:
+                dropped.add(n)
+            elif n.named:
+                dropped.add(n)
+                tried.setdefault(scope[up], []).append(n)
+            else:
+                size = sum(len("".join(x.split())) for x in n.down if isinstance(x, str))
+                kept[scope[n]] = kept.get(scope[n], 0) + size
+                found = found or (size > 0 and scope[n].up is not None)
+        lifted = False
+        for s, them in tried.items():
+            page = s.up is None
+            if page and found:
+                them = [n for n in them if holds[n]]
+            held = sum(kept.values()) if page else kept.get(s, 0)
+            best = max(them, key=plain.__getitem__, default=None)
+            while best is not None and plain[best] > held * (1 if page and holds[best] else best.named):
+                lifted = lifted or best.named > 0
+                best.named = 0
+                best = next((x for x in best.down if isinstance(x, Node) and plain[x] == plain[best]), None)  # wrappers of the same text at once
+        if not lifted:
+            break
+    for n in nodes:
+        n.aside = n.aside or n.named > 0 or (n.up is not None and n.up.aside)
 
 
 class Tree(HTMLParser):
-    def __init__(self):
+    def __init__(self, loose: bool = False):
         super().__init__(convert_charrefs=True)
-        self.root = self.at = Node("#root", None, False, False)
+        self.loose = loose
+        self.root = self.at = Node("#root", None, False, 0, False)
         self.nodes = [self.root]
 
     def _close(self, node: Node) -> None:
@@ -99,7 +167,8 @@ class Tree(HTMLParser):
         if tag in CLOSES and (n := self._open(CLOSES[tag], SCOPE[tag])):
             self._close(n)
         up = self.at
-        node = Node(tag, up, up.aside or _is_aside(tag, attrs, up), up.link or tag == "a")
+        aside = tag in TEXTLESS if self.loose else _is_aside(tag, attrs, up)
+        node = Node(tag, up, up.aside or aside, 0 if self.loose else _named(tag, attrs, up), up.link or tag == "a")
         up.down.append(node)
         self.nodes.append(node)
         if tag not in VOID:
@@ -209,10 +278,15 @@ def _text(top: Node) -> str:
 def main_text(html: str | None) -> str:
     if not html:
         return ""
-    tree = Tree()
-    tree.feed(html)
-    tree.close()
-    return _text(_core(tree.nodes, _weigh(tree.nodes)))
+    for loose in (False, True):  # where all text is aside, only elements that are never text count
+        tree = Tree(loose)
+        tree.feed(html)
+        tree.close()
+        _settle(tree.nodes)
+        text = _text(_core(tree.nodes, _weigh(tree.nodes)))
+        if text:
+            break
+    return text
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -266,6 +266,32 @@ def test_html_without_article_element():
     assert [html_extract.main_text(x) for x in (None, "", "<p></p>", "just text", "<" * 50)][:4] == ["", "", "", "just text"]
 
 
+@pytest.mark.parametrize(
+    ("start", "end"),
+    [
+        ('<div class="content-sidebar-wrap"><main>', "</main></div>"),
+        ('<div class="content-sidebar-wrap"><main><article>', "</article></main></div>"),
+        ('<div class="layout has-sidebar"><div class="content">', "</div></div>"),
+        ('<div class="sidebar-layout"><div class="content">', "</div></div>"),
+        ('<article class="post has-comments">', "</article>"),
+        ('<article class="post share-enabled">', "</article>"),
+        ('<main><div class="widget-wrap">', "</div></main>"),
+        ('<div id="notice">', "</div>"),
+        ('<form><div class="content">', "</div></form>"),
+        ('<div role="alert">', "</div>"),
+    ],
+)
+def test_html_wrappers_named_like_asides(start, end):
+    lines = [f"Paragraph {i} has quite a few words to read here." for i in range(4)]
+    aside = '<div class="sidebar"><p>More stories to read</p></div>'
+    others = '<section class="comments">' + "<article class=comment><p>I disagree very much with all of this.</p></article>" * 3 + "</section>"
+    body = '<div class="entry-header"><h1>Title of it</h1></div>' if "article" in start or "main" in start else "<h1>Title of it</h1>"
+    body += "".join(f"<p>{x}</p>" for x in lines)
+    aside = "" if "role" in start else aside
+    page = f'<body><nav><a href=a>x</a></nav>{start}{body}{"" if "<div id" in start or "role" in start else others}{end}{aside}<footer>us</footer></body>'
+    assert html_extract.main_text(page).splitlines() == ["Title of it", *lines]
+
+
 def test_html_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r["page_id"]: r for r in html_extract.extract(pages.withColumn("text", F.lit("clash"))).collect()}
