@@ -6,8 +6,11 @@ here.  A null input gives null unless said otherwise.
 
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 SPACE = r"\s\x1c-\x1f"
 CJK = r"[\x{4E00}-\x{9FFF}]"
@@ -184,19 +187,22 @@ def polish_text(c: Column, drop_leading_s: bool = False) -> Column:
     return F.regexp_replace(out, r"^[;；,，.。:：\\s]+" if drop_leading_s else r"^[;；,，.。:： ]+", "")
 
 
-def unescape_html(c: Column) -> Column:
-    """The common named references and decimal ones up to U+FFFF, twice over."""
-    for _ in range(2):
-        for name, char in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("#39", "'"), ("nbsp", " "), ("amp", "&")):
-            c = F.replace(c, F.lit(f"&{name};"), F.lit(char))
-    return c
+@F.udf(ArrayType(StringType()), useArrow=True)
+def _unescaped(lines):
+    return None if lines is None else [x if x is None or "&" not in x else html.unescape(html.unescape(x)) for x in lines]
+
+
+def unescape_html(lines: Column) -> Column:
+    """Each line of an array with its character references decoded as HTML does, twice over."""
+    return _unescaped(lines)
 
 
 def strip_inline_noise(c: Column) -> Column:
-    """Markup, style and office attributes out of a line."""
-    out = unescape_html(F.translate(c, "\x00", " "))
+    """Markup, style and office attributes out of a line whose references are decoded."""
+    out = c
     attributes = "|".join(NOISE_ATTRIBUTES)
     for p in (
+        r"&lt;/?[a-zA-Z][^&]*&gt;",
         r"</?[a-zA-Z][^>]*>",
         r"</?[a-zA-Z][a-zA-Z0-9:-]*",
         r"\{[^{}]{0,260}\}",
@@ -252,13 +258,14 @@ def _body_line(c: Column) -> Column:
 
 def preview_lines(c: Column) -> Column:
     """Readable lines of a text: noise stripped, started at the body, Latin clutter out of Chinese lines."""
-    stripped = F.filter(F.transform(lines_of(c), strip_inline_noise), lambda x: x != "")
+    decoded = unescape_html(F.transform(lines_of(c), lambda x: F.translate(x, "\x00", " ")))
+    stripped = F.filter(F.transform(decoded, strip_inline_noise), lambda x: x != "")
     anchored = F.filter(F.transform(stripped, trim_to_anchor), lambda x: x != "")
     return F.filter(F.transform(anchored, _body_line), lambda x: ~is_noise_line(x))
 
 
 def preview(lines: Column, max_chars: int = 500) -> Column:
-    """Preview of readable lines: Chinese ones alone where there are some, repeats dropped, cut with an ellipsis."""
+    """Preview of readable lines (a column, as a Python function can't stand inside a lambda): Chinese ones alone where there are some, repeats dropped, cut with an ellipsis."""
     chinese = F.filter(lines, lambda x: cjk_count(x) >= 2)
     kept = F.when(F.exists(lines, lambda x: cjk_count(x) >= 4) & (F.size(chinese) > 0), chinese).otherwise(lines)
     single = F.filter(kept, lambda x, i: (i == 0) | (x != F.element_at(kept, F.greatest(i, F.lit(1)))))

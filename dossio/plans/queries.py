@@ -274,7 +274,8 @@ def contents_reference_ratio(spark, sf_dir):
 
 @query()
 def preview_texts(spark, sf_dir):
-    return read(spark, sf_dir, "pages").select("page_id", T.preview(T.preview_lines(F.col("html"))).alias("preview"))
+    lines = read(spark, sf_dir, "pages").select("page_id", T.preview_lines(F.col("html")).alias("lines"))
+    return lines.select("page_id", T.preview(F.col("lines")).alias("preview"))
 
 
 @query("""WITH l AS (SELECT page_id, unnest(range(0, len(string_split(html, chr(10))))) AS i, unnest(string_split(html, chr(10))) AS line FROM pages)

@@ -1,11 +1,15 @@
 """Column functions on literal rows."""
 
+import html
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from dossio.functions import cast as C
 from dossio.functions import geom as G
 from dossio.functions import text as T
+from dossio.plans import queries
 
 
 def one(spark, column):
@@ -137,3 +141,81 @@ def test_signature_rounds_half_even(spark):
 def test_drawing_kinds(spark):
     kinds = [one(spark, G.drawing_kind(F.array(*map(lit, i)) if i else F.array().cast("array<string>"), lit(w), lit(h))) for i, w, h in ((["x", "re", "l"], 9, 9), (["l"], 9, 9), ([], 100, 1), ([], 50, 50))]
     assert kinds == ["rectangle", "line", "line", "unknown"]
+
+
+def plain_polish(s):
+    s = re.sub(r"\s+", " ", s).strip()
+    for p, by in ((r"([\u4e00-\u9fff])\s+([\u4e00-\u9fff])", r"\1\2"), (r"\s+([，。！？；：、])", r"\1"), (r"([（《“【])\s+", r"\1"), (r"\s+([）》”】])", r"\1"), (r"[;；,，]\s*(?=[;；,，])", "")):
+        s = re.sub(p, by, s)
+    return re.sub(r"^[;；,，.。:： ]+", "", s)
+
+
+def plain_line(line):
+    s = html.unescape(html.unescape(line.replace("\x00", " ")))
+    attributes = "|".join(T.NOISE_ATTRIBUTES)
+    for p in (r"&lt;/?[a-zA-Z][^&]*&gt;", r"</?[a-zA-Z][^>]*>", r"</?[a-zA-Z][a-zA-Z0-9:-]*", r"\{[^{}]{0,260}\}", r"font-family\s*:[^;{}]+;?", rf'\b(?:{attributes})\s*=\s*"[^"]*"', r"\b(?:en-us|zh-cn|x-none)\b", r"\b(?:true|false)\b", r"\S+\.files/\S+", r"\S+\.xml\b", r"标题\s*\d+\s*(?:字符)?", "普通表格"):
+        s = re.sub(p, " ", s, flags=re.IGNORECASE)
+    s = re.sub(r"[\"'“”‘’]+\s*[;；,，]?", " ", re.sub(r"[<>]+", " ", s))
+    s = re.sub(r"\s+", " ", s).strip()
+    at = min([k for a in T.BODY_ANCHORS if (k := s.find(a)) >= 0], default=0)
+    if at and ("标题" in s[:at] or "表格" in s[:at] or at < 140):
+        s = s[at:].strip()
+    cjk = re.findall(r"[\u4e00-\u9fff]", s)
+    if len(cjk) >= 2:
+        lead = s[: s.find(cjk[0])].strip()
+        if sum(map(str.isalpha, lead)) >= 4 or sum(map(str.isdigit, lead)) >= 2:
+            s = s[s.find(cjk[0]) :].strip()
+        s = plain_polish(re.sub(r"\b[a-zA-Z][a-zA-Z0-9._-]{4,}\b", " ", s))
+    return s
+
+
+def plain_noise(s):
+    low, digits, cjk = s.lower(), sum(map(str.isdigit, s)), len(re.findall(r"[\u4e00-\u9fff]", s))
+    return bool(
+        any(k in low for k in T.NOISE_KEYWORDS)
+        or (re.search(r"\d{4}-\d{2}-\d{2}t\d{2}:\d{2}:\d{2}z", low) and digits >= 10)
+        or re.fullmatch(r"[\d\s:/\-tTzZ.]+", s)
+        or len(re.findall(r"\b(?:true|false)\b", low)) >= 2
+        or (re.search(r"\b[a-z]{2}-[a-z]{2}\b", low) and digits >= 2)
+        or ".xml" in low
+        or ".files/" in low
+        or len(re.findall(r"\b\w+:\w+\b", low)) >= 2
+        or (not cjk and len(re.findall(r"[a-zA-Z]{2,}", s)) >= 8 and digits >= 2)
+        or (digits >= 8 and sum(map(str.isalpha, s)) + cjk <= 22 and len(s) < 220)
+    )
+
+
+def plain_preview(text, most=500):
+    lines = [x for line in text.splitlines() if (x := plain_line(line)) and not plain_noise(x)]
+    cjk = [len(re.findall(r"[\u4e00-\u9fff]", x)) for x in lines]
+    if any(n >= 4 for n in cjk):
+        lines = [x for x, n in zip(lines, cjk, strict=True) if n >= 2]
+    merged = ""
+    for k, x in enumerate(lines):
+        if k and x == lines[k - 1]:
+            continue
+        merged = plain_polish(f"{merged} {x}".strip() if merged else x)
+        if len(merged) >= most:
+            return plain_polish(merged[:most].rstrip()) + "..."
+    return plain_polish(merged)
+
+
+def test_preview_of_character_references(spark):
+    texts = [
+        "caf&eacute; &mdash; &ldquo;quoted&rdquo; it&#8217;s &#x27;so&#x27; &copy; &middot; &amp;eacute;&amp;#8212;",
+        "&#33647;&#21697; &#x540D;&#x79F0; and more\nplain\n&#x836F;&#x54C1;&#x8BF4;&#x660E;",
+        "&notit; &unknown; &#xD800; &#0; &#x1F600; AT&T &amp;amp;lt;b&amp;amp;gt; x",
+        "&Alpha;" * 600,
+        "&lt;b&gt;bold&lt;/b&gt; &#60;i&#62;it&#60;/i&#62;\nsame\nsame",
+        "",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", T.preview_lines(F.col("text")).alias("lines"))
+    got = {r["id"]: r["x"] for r in df.select("id", T.preview(F.col("lines")).alias("x")).collect()}
+    assert got == {k: plain_preview(t) for k, t in enumerate(texts)}
+    assert got[0].startswith("café — quoted it s so © ·")
+
+
+def test_preview_texts_against_plain_python(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r["page_id"]: r["preview"] for r in queries.preview_texts(spark, sf).collect()}
+    assert got == {r["page_id"]: plain_preview(r["html"]) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
