@@ -9,7 +9,8 @@ and every link shares a cell.  Pairs in a cell are held to the Manhattan bound,
 
 Cells with more than CELL_LIMIT fingerprints (only huge families of almost equal texts make them) get
 their links another way, exact too, without listing pairs: a bit pattern within 1 bit of one fingerprint
-and 2 bits of another proves a link, and all at such a pattern hang on its smallest fingerprint.
+and 2 bits of another proves a link, and all at such a pattern hang on its smallest fingerprint.  The
+number of links of each is worked out from how many fingerprints stand at each distance of such patterns.
 
 Equal fingerprints are one node throughout, so copies are never paired with each other.
 
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -91,23 +93,49 @@ def _cells(bound: int) -> list[int]:
     return [_signed(sum(c)) for c in combinations(masks, parts - bound)]
 
 
+def _ball(radius: int) -> list[int]:
+    """A mask for each way to flip ``radius`` bits at most."""
+    return [_signed(sum(1 << i for i in c)) for r in range(radius + 1) for c in combinations(range(64), r)]
+
+
+def _at(crowded: DataFrame, radius: int, node: str, bits: str) -> DataFrame:
+    """(node, bits, z): each bit pattern z within ``radius`` bits of a fingerprint."""
+    flip = F.explode(F.lit(_ball(radius))).alias("flip")
+    return crowded.select(F.col("fp").alias(node), flip).select(node, F.bit_count("flip").alias(bits), F.col(node).bitwiseXOR(F.col("flip")).alias("z"))
+
+
 def _crowded_links(crowded: DataFrame, bound: int) -> DataFrame:
     """Links that keep all connections within the bound among ``crowded`` fingerprints (column fp)."""
     near, far = bound // 2, bound - bound // 2
+    at = _at(crowded, near, "u", "i").groupBy("z").agg(F.min("u").alias("u"))
+    return at.join(_at(crowded, far, "v", "j"), "z").where("u <> v").select("u", "v").distinct()
 
-    def ball(radius: int) -> list[int]:
-        return [_signed(sum(1 << i for i in c)) for r in range(radius + 1) for c in combinations(range(64), r)]
-
-    at = crowded.select("fp", F.explode(F.lit(ball(near))).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("z")).groupBy("z").agg(F.min("fp").alias("u"))
-    out = crowded.select(F.col("fp").alias("v"), F.explode(F.lit(ball(far))).alias("flip")).select("v", F.col("v").bitwiseXOR(F.col("flip")).alias("z"))
-    return at.join(out, "z").where("u <> v").select("u", "v").distinct()
 
+def _crowded_degrees(crowded: DataFrame, bound: int) -> DataFrame:
+    """(node, n): how many other ``crowded`` fingerprints differ from each in ``bound`` bits at most; lists no pairs.
 
-def links(nodes: DataFrame, bound: int = BOUND) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints (column fp) that differ in 1 to ``bound`` bits.
-
-    All such pairs where cells hold CELL_LIMIT fingerprints at most; beyond that, enough to connect them alike.
+    With N(i, j) the sum, over the patterns i bits from a fingerprint, of the fingerprints j bits from them, and
+    n(e) the fingerprints at distance e,  N(i, j) = sum of n(e) * comb(e, t) * comb(64 - e, s),  2 s = i + j - e,
+    t = i - s.  So i = d // 2 and j = d - i give n(d) from the smaller distances of its parity.
     """
+    near, far = bound // 2, bound - bound // 2
+    have = _at(crowded, far, "v", "j").groupBy("z").agg(*[F.count_if(F.col("j") == j).alias(f"a{j}") for j in range(far + 1)])
+    steps = {d: (d // 2, d - d // 2) for d in range(1, bound + 1)}
+    sums = [F.sum(F.when(F.col("i") == i, F.col(f"a{j}")).otherwise(0)).alias(f"s{d}") for d, (i, j) in steps.items()]
+    found = _at(crowded, near, "node", "i").join(have, "z").groupBy("node").agg(*sums)
+    n = {0: F.lit(1).cast("long")}
+    for d, (i, j) in steps.items():
+        known = F.lit(0).cast("long")
+        for e in range(d % 2, d, 2):
+            s = (d - e) // 2
+            known = known + n[e] * (comb(e, i - s) * comb(64 - e, s) if i >= s else 0)
+        found = found.withColumn(f"n{d}", F.expr(f"s{d}") - known).withColumn(f"n{d}", F.expr(f"n{d} div {comb(d, i)}"))
+        n[d] = F.col(f"n{d}")
+    return found.select("node", sum((n[d] for d in steps), F.lit(0).cast("long")).alias("n"))
+
+
+def _pairs(nodes: DataFrame, bound: int) -> tuple[DataFrame, DataFrame | None]:
+    """All pairs (u, v) within the bound that share an uncrowded cell, and the fingerprints of crowded cells, if any."""
     cell = F.explode(F.array(*[F.struct(F.lit(k).alias("grid"), F.col("e").bitwiseAND(F.lit(m)).alias("cell")) for k, m in enumerate(_cells(bound))])).alias("c")
     dealt = nodes.select("fp", _embedding(F.col("fp")).alias("e")).select("fp", "e", cell).select("fp", "e", "c.grid", "c.cell")
     shared = cut(dealt.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1"))
@@ -119,23 +147,47 @@ def links(nodes: DataFrame, bound: int = BOUND) -> DataFrame:
     same = (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell"))
     found = a.join(b, same & (fa < fb) & within).select(fa.alias("u"), fb.alias("v"))
     crowded = held.where(F.col("n") > CELL_LIMIT).select("fp").distinct()
-    if not crowded.isEmpty():
-        found = found.unionByName(_crowded_links(crowded, bound))
-    return found.distinct()
+    return found.distinct(), None if crowded.isEmpty() else crowded
+
+
+def links(nodes: DataFrame, bound: int = BOUND) -> DataFrame:
+    """Edges (u, v) between distinct fingerprints (column fp) that differ in 1 to ``bound`` bits.
+
+    All such pairs where cells hold CELL_LIMIT fingerprints at most; beyond that, enough to connect them alike.
+    """
+    found, crowded = _pairs(nodes, bound)
+    return found if crowded is None else found.unionByName(_crowded_links(crowded, bound)).distinct()
+
+
+def _degrees(pairs: DataFrame, crowded: DataFrame | None, bound: int) -> DataFrame:
+    """(node, n_links): exact.  A pair with an end outside the crowded cells shares uncrowded ones only, so it is listed."""
+    both = F.explode(F.array(F.struct(F.col("u").alias("node"), F.col("v").alias("other")), F.struct(F.col("v").alias("node"), F.col("u").alias("other")))).alias("b")
+    if crowded is None:
+        return pairs.select(both).groupBy("b.node").agg(F.count("*").alias("n_links"))
+    for end in ("u", "v"):
+        pairs = pairs.join(crowded.select(F.col("fp").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+    listed = pairs.where("_u IS NULL OR _v IS NULL").select(both).groupBy("b.node").agg(F.count("*").alias("n"))
+    return listed.unionByName(_crowded_degrees(crowded, bound)).groupBy("node").agg(F.sum("n").alias("n_links"))
 
 
-def near_duplicates(docs: DataFrame, bound: int = BOUND, shingle: int = SHINGLE) -> DataFrame:
-    """A row for each document: doc_id, fp, component_id, n_links (other fingerprints within the bound, of uncrowded cells)."""
+def near_duplicates(docs: DataFrame, bound: int = BOUND, shingle: int = SHINGLE, count_links: bool = True) -> DataFrame:
+    """A row for each document: doc_id, fp, component_id and, with ``count_links``, n_links (other fingerprints within the bound)."""
     prints = cut(fingerprints(docs, shingle))
     nodes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    edges = cut(links(nodes.select("fp"), bound))
-    root = components(edges)
-    degree = edges.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    of = root.join(degree, "node", "left")
-    named = nodes.join(of, nodes["fp"] == of["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    pairs, crowded = _pairs(nodes.select("fp"), bound)
+    edges = pairs = cut(pairs)
+    if crowded is not None:
+        crowded = cut(crowded)
+        edges = cut(pairs.unionByName(_crowded_links(crowded, bound)).distinct())
+    of = components(edges)
+    if count_links:
+        of = of.join(_degrees(pairs, crowded, bound), "node", "left")
+    counted = [F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if count_links else []
+    named = nodes.join(of, nodes["fp"] == of["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"), *counted)
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    classes = cut(named.join(lowest, "root").select("fp", "component_id", "n_links"))
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id", "n_links")
+    out = ["fp", "component_id", *(["n_links"] if count_links else [])]
+    classes = cut(named.join(lowest, "root").select(*out))
+    return prints.join(classes, "fp").select("doc_id", *out)
 
 
 def deduplicate(docs: DataFrame, bound: int = BOUND, shingle: int = SHINGLE) -> DataFrame:
@@ -143,5 +195,5 @@ def deduplicate(docs: DataFrame, bound: int = BOUND, shingle: int = SHINGLE) ->
 
     A component whose documents all lack an id keeps one row of each of its texts.
     """
-    stay = near_duplicates(docs, bound, shingle).select(F.col("component_id").alias("_kept_id")).distinct()
+    stay = near_duplicates(docs, bound, shingle, count_links=False).select(F.col("component_id").alias("_kept_id")).distinct()
     return docs.join(stay, docs["doc_id"].eqNullSafe(stay["_kept_id"]), "left_semi").dropDuplicates(["doc_id"] if docs.where("doc_id is null").isEmpty() else ["doc_id", "text"])

@@ -231,6 +231,20 @@ def test_components_against_brute_force(spark, monkeypatch, limit):
     assert sorted(r["doc_id"] for r in left.collect()) == sorted({root(i) for i in range(len(texts))})
 
 
+@pytest.mark.parametrize("limit", [4096, 2, 20])
+def test_numbers_of_links_against_brute_force(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash_dedup, "CELL_LIMIT", limit)
+    rnd = random.Random(4)
+    fps = [0, *(sum(1 << b for b in rnd.sample(range(6), rnd.randint(0, 4))) for _ in range(60))]
+    fps = list({*fps, *(rnd.getrandbits(64) for _ in range(20)), *(x ^ 1 << rnd.randrange(64) for x in fps[:20])})
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    monkeypatch.setattr(simhash_dedup, "fingerprints", lambda d, shingle: d.select("doc_id", F.col("text").cast("long").alias("fp")))
+    for bound in (3, 2):
+        want = {f: sum(0 < (x ^ y).bit_count() <= bound for y in fps) for f, x in zip(signed, fps, strict=True)}
+        got = simhash_dedup.near_duplicates(docs(spark, [*map(str, signed)]), bound).collect()
+        assert {r["fp"]: r["n_links"] for r in got} == want
+
+
 def test_near_duplicates_of_odd_rows(spark, odd):
     got = simhash_dedup.near_duplicates(odd).collect()
     assert len(got) == 7 and {r["component_id"] for r in got if r["doc_id"] in (1, 2, 4)} == {1}
