@@ -6,8 +6,8 @@ gated attention (a tanh branch times a sigmoid branch) weighs the passages, lear
 alone; a logistic unit scores the weighted representation.
 
 The model is fitted on the driver from SAMPLE_ROWS labelled documents at most (those with the smallest
-hash of their id), of each at most TRAIN_PASSAGES passages spread evenly over its text.  Scoring encodes
-every passage of every text.
+hash of their id), from every passage of each.  The passages are kept in a mapped temporary file there, and
+a step takes its bags in runs of STEP_ROWS passages.  Scoring encodes every passage of every text.
 
 Defined results: a null, empty or blank text is one passage without words and gets that bag's score; a
 missing or null label is not learned from; of a document labelled twice the larger label counts; with
@@ -17,6 +17,8 @@ none); repeated rows get equal scores; an empty table gives no rows; other colum
 
 from __future__ import annotations
 
+import hashlib
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +28,9 @@ from pyspark.sql import functions as F
 
 PASSAGE = 64
 SAMPLE_ROWS = 20_000
-TRAIN_PASSAGES = 256
+#: Passages in memory at once while fitting (a longer bag is taken alone), and bytes of bags sent at once.
+STEP_ROWS = 1 << 15
+BAGS_BYTES = 8 << 20
 HELD_OUT = 1
 FOLDS = 3
 HIDDEN, GATE = 24, 12
@@ -93,15 +97,17 @@ class Model:
         z = np.add.reduceat(h * att[:, None], first, axis=0)
         return h, t, g, att, bag, z, 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["d"], -30, 30)))
 
-    def fit(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> Model:
+    def fit(self, x: np.ndarray, first: np.ndarray, y: np.ndarray, last: np.ndarray | None = None) -> Model:
+        """Bag k is the rows first[k] to last[k] of x, which may be a mapped file: only a step's rows are in memory."""
         self.prior = float(y.mean()) if len(y) else 0.5
         if len(np.unique(y)) < 2:
             return self
-        self.shift, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-        x = (x - self.shift) / self.scale
+        parts = lambda: (x[k : k + STEP_ROWS].astype(np.float64) for k in range(0, len(x), STEP_ROWS))
+        self.shift = sum(p.sum(axis=0) for p in parts()) / len(x)
+        self.scale = np.sqrt(sum(((p - self.shift) ** 2).sum(axis=0) for p in parts()) / len(x)) + 1e-3
         r = lambda *s: self.rng.normal(0, 1 / np.sqrt(s[0]), s)
         w = self.weights = {"W": r(x.shape[1], HIDDEN), "b": np.zeros(HIDDEN), "V": r(HIDDEN, GATE), "U": r(HIDDEN, GATE), "a": r(GATE), "c": r(HIDDEN), "d": np.zeros(1)}
-        ends = np.append(first, len(x))
+        last = np.append(first[1:], len(x)) if last is None else last
         weigh = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6)) ** 0.5  # eases the imbalance of the classes
         m1, m2 = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
         step, steps = 0, EPOCHS * -(-len(y) // BATCH)
@@ -109,10 +115,13 @@ class Model:
             order = self.rng.permutation(len(y))
             for k in range(0, len(y), BATCH):
                 pick = order[k : k + BATCH]
-                rows = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in pick])
-                sizes = ends[pick + 1] - ends[pick]
-                start = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                grads = self._gradients(x[rows], start, y[pick], weigh[pick])
+                grads = {n: np.zeros_like(v) for n, v in w.items()}
+                for some in self._runs(pick, last - first):
+                    rows = np.concatenate([np.arange(first[i], last[i]) for i in some])
+                    start = np.concatenate([[0], np.cumsum(last[some] - first[some])[:-1]])
+                    part = self._gradients((x[rows].astype(np.float64) - self.shift) / self.scale, start, y[some], weigh[some])
+                    for n, g in part.items():
+                        grads[n] += g * (len(some) / len(pick))
                 step += 1
                 rate = RATE * (1 - step / (steps + 1))
                 for n, g in grads.items():
@@ -121,6 +130,18 @@ class Model:
                     w[n] = w[n] * (1 - rate * DECAY) - rate * (m1[n] / (1 - 0.9**step)) / (np.sqrt(m2[n] / (1 - 0.999**step)) + 1e-8)
         return self
 
+    @staticmethod
+    def _runs(pick: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """``pick`` in runs of bags with STEP_ROWS rows together at most, or of one bag."""
+        runs, n = [[]], 0
+        for i in pick:
+            if runs[-1] and n + sizes[i] > STEP_ROWS:
+                runs.append([])
+                n = 0
+            runs[-1].append(i)
+            n += sizes[i]
+        return [np.array(r) for r in runs]
+
     def _gradients(self, x, first, y, weigh) -> dict[str, np.ndarray]:
         w = self.weights
         h, t, g, att, bag, z, p = self._forward(x, first)
@@ -151,13 +172,15 @@ def held_out(doc_id):
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        found = []
-        for t in b.column("text"):
-            rows = passages(t.as_py())
-            if len(rows) > TRAIN_PASSAGES:
-                rows = rows[np.linspace(0, len(rows) - 1, TRAIN_PASSAGES).astype(int)]
-            found.append(rows.tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("label"), pa.array(found, pa.binary())], ["label", "bag"])
+        labels, found, held = [], [], 0
+        for label, t in zip(b.column("label").to_pylist(), b.column("text"), strict=True):
+            labels.append(label)
+            found.append(passages(t.as_py()).tobytes())
+            held += len(found[-1])
+            if held > BAGS_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(labels, pa.float64()), pa.array(found, pa.binary())], ["label", "bag"])
+                labels, found, held = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.float64()), pa.array(found, pa.binary())], ["label", "bag"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -165,16 +188,20 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample_row
     known = labels.where(F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("double").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # so many rows at most
     bags = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("label", "text").mapInArrow(_bags, "label double, bag binary")
-    x, y = [], []
-    for row in bags.toLocalIterator():
-        x.append(np.frombuffer(row["bag"], np.float32).reshape(-1, WIDTH))
-        y.append(row["label"])
-    order = sorted(range(len(y)), key=lambda i: (y[i], x[i].tobytes()))  # the fit doesn't depend on the order of rows
-    x, y = [x[i] for i in order], np.array([y[i] for i in order])
-    if not x:
-        return Model()
-    first = np.concatenate([[0], np.cumsum([len(b) for b in x])[:-1]]).astype(np.int64)
-    return Model().fit(np.concatenate(x).astype(np.float64), first, y)
+    keys, at = [], 0
+    with tempfile.TemporaryFile() as file:  # all passages of the sampled texts, whatever their length
+        for row in bags.toLocalIterator():
+            bag = bytes(row["bag"])
+            file.write(bag)
+            n = len(bag) // (4 * WIDTH)
+            keys.append((row["label"], bag[:4096], hashlib.sha256(bag).digest(), at, at + n))
+            at += n
+        if not keys:
+            return Model()
+        keys.sort()  # the fit doesn't depend on the order of rows
+        file.flush()
+        y, first, last = (np.array([k[i] for k in keys]) for i in (0, 3, 4))
+        return Model().fit(np.memmap(file, np.float32, "r", shape=(at, WIDTH)), first, y, last)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model):

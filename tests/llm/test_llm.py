@@ -410,6 +410,22 @@ def test_quality_learns_and_survives(spark, odd):
     assert {r["score"] for r in quality.score(odd, none).collect()} == {0.5} and quality.score(empty(spark), model).count() == 0
 
 
+def test_quality_learns_from_all_passages(spark, monkeypatch):
+    rnd = random.Random(3)
+    texts = [" ".join(rnd.choice(["river", "house", "Blue", "walk!", "x1"]) for _ in range(rnd.choice([5, 200, 30000]))) for _ in range(12)]
+    d, labels = docs(spark, texts), spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    seen = []
+    fit = quality.Model.fit
+    monkeypatch.setattr(quality.Model, "fit", lambda self, x, *a: seen.append(np.array(x)) or fit(self, x, *a))
+    model = quality.train(d, labels)
+    known = [i for i in range(12) if zlib.crc32(str(i).encode()) % 3 != 1]
+    want = np.concatenate([quality.passages(texts[i]) for i in known])
+    assert len(seen[0]) == len(want) and sorted(map(bytes, seen[0])) == sorted(map(bytes, want))
+    monkeypatch.setattr(quality, "STEP_ROWS", 100)  # bags of a step in many runs
+    again = quality.train(d, labels)
+    assert all(np.allclose(model.weights[k], again.weights[k], atol=1e-6) for k in model.weights)
+
+
 def test_quality_gradients():
     rng = np.random.default_rng(0)
     x, first, y, w = rng.normal(size=(9, 4)), np.array([0, 2, 3, 7]), np.array([1.0, 0, 1, 0]), np.ones(4)
