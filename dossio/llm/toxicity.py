@@ -2,7 +2,8 @@
 
 Terms are a document's lower-cased words and their beginnings of PREFIXES bytes (inflected words share
 those).  Terms tied to the label are found over the labelled sample by the likelihood-ratio statistic,
-held to a bound that grows with the number of candidates, so chance doesn't add terms.  The chain's
+held to a bound that grows with the number of candidates, so chance doesn't add terms; all that pass are
+kept.  The chain's
 categories, in order:
 
     abusive    the document is labelled toxic and one of its terms is tied to toxicity
@@ -39,7 +40,6 @@ from dossio.llm.quality import held_out
 
 PREFIXES = (4, 5, 6, 7)
 SAMPLE_ROWS = 20_000
-MAX_TERMS = 2000
 LEAST_DOCS = 4
 REPEATED = 3
 CATEGORIES = ("abusive", "repeated", "toxic")
@@ -146,7 +146,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tied_terms(sample: DataFrame) -> list[bytes]:
-    """Terms with more toxic documents than chance gives; the strongest MAX_TERMS.  Equal texts count once."""
+    """Terms with more toxic documents than chance gives, all that pass the bound, the strongest first.  Equal texts count once."""
     sample = sample.dropDuplicates(["text", "label"])
     rows, toxic = sample.agg(F.count("*"), F.sum("label")).first()
     counts = sample.mapInArrow(_term_counts, "term binary, n long, n_toxic long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("k")).where(F.col("n") >= LEAST_DOCS)
@@ -158,7 +158,7 @@ def _tied_terms(sample: DataFrame) -> list[bytes]:
     scored = cut(counts.select("term", ratio.alias("g"), (k / n > q).alias("up")))
     candidates = scored.count()
     bound = 2 * math.log(max(2, candidates)) + 4
-    return [bytes(r["term"]) for r in scored.where(F.col("up") & (F.col("g") >= bound)).orderBy(F.desc("g"), "term").limit(MAX_TERMS).collect()]
+    return [bytes(r["term"]) for r in scored.where(F.col("up") & (F.col("g") >= bound)).orderBy(F.desc("g"), "term").collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Chain:
@@ -170,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows:
     if not rows or not toxic or toxic == rows:
         return chain
     chain.terms = {t: k for k, t in enumerate(_tied_terms(sample))}
-    sent = docs.sparkSession.sparkContext.broadcast(chain)  # MAX_TERMS terms at most
+    sent = docs.sparkSession.sparkContext.broadcast(chain)  # as many terms as the sample has at most
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

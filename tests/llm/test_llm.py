@@ -464,6 +464,15 @@ def test_toxicity_learns_and_survives(spark, odd):
     assert {r["score"] for r in toxicity.score(odd, none).collect()} == {0.0} and toxicity.score(empty(spark), chain).count() == 0
 
 
+def test_toxicity_keeps_every_tied_term(spark):
+    name = lambda i: "".join("abcdefghij"[int(d)] for d in f"{i * 7919 % 100000:05}") + "zzzz"
+    tied = [name(i) for i in range(2500)]
+    texts = [" ".join(tied) + f" x{i}" if i % 2 else f"plain words number {i}" for i in range(80)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    chain = toxicity.train(docs(spark, texts), labels)
+    assert {w.encode() for w in tied} <= set(chain.terms)
+
+
 # --- queries and pipeline
 
 
