@@ -354,11 +354,11 @@ def parents(tables: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def identity_parents(tables: DataFrame, last: int = 10, least: float = 0.7) -> DataFrame:
-    """Each table with parent_id: of the ``last`` tables before it, the latest on the page before, near its bottom, with like columns."""
+    """Each table with parent_id and parent_signature: of the ``last`` tables before it, the latest on the page before, near its bottom, with like columns."""
     p = tables.select("doc_id", F.col("seq").alias("_s"), (F.col("page") + 1).alias("page"), F.col("table_id").alias("_id"), F.col("column_signature").alias("_sig"), F.col("near_bottom").alias("_nb")).where("_nb")
     both = tables.select("doc_id", "page", "seq", "table_id", "column_signature").join(p, PAGE).where(F.col("_s").between(F.col("seq") - last, F.col("seq") - 1) & (G.column_similarity(F.col("column_signature"), F.col("_sig")) >= least))
-    best = both.groupBy("doc_id", "table_id").agg(F.max_by("_id", "_s").alias("parent_id"))
-    return tables.join(best, ["doc_id", "table_id"], "left")
+    best = both.groupBy("doc_id", "table_id").agg(F.max_by(F.struct("_id", "_sig"), "_s").alias("p"))
+    return tables.join(best.select("doc_id", "table_id", F.col("p._id").alias("parent_id"), F.col("p._sig").alias("parent_signature")), ["doc_id", "table_id"], "left")
 
 
 def normalize(evidence: DataFrame) -> DataFrame:
@@ -387,10 +387,11 @@ def normalize(evidence: DataFrame) -> DataFrame:
 
 
 def judge(tables: DataFrame) -> DataFrame:
-    """Normalized tables with context and parent_id to identity, validity and confidence; only accepted ones stay."""
+    """Normalized tables with context, parent_id and parent_signature (none counts as unlike columns) to identity, validity and confidence; only accepted ones stay."""
     c = F.col
+    parent = c("parent_signature") if "parent_signature" in tables.columns else F.lit(None).cast("array<double>")
     who = identity(c("near_top"), c("parent_id"), c("header_inherited"), F.size("header") > 0, F.lit(False), c("row_count"), c("col_count"))
-    t = tables.withColumn("_who", who).withColumn("_on", c("_who.identity") == "CONTINUATION").withColumn("_sim", F.when(c("_on"), F.lit(1.0)).otherwise(0.0))
+    t = tables.withColumn("_who", who).withColumn("_on", c("_who.identity") == "CONTINUATION").withColumn("_sim", F.when(c("_on"), F.coalesce(G.column_similarity(c("column_signature"), parent), F.lit(0.0))).otherwise(0.0))
     ok = is_valid(c("row_count"), c("col_count"), c("structure_score"), c("title"), c("section_hint"), c("_on"), c("is_continuation"), c("toc_context"), c("grid_line_score"), c("weighted_toc_ratio"), c("reference_ratio"))
     sure = confidence(c("_who.confidence"), c("structure_score"), c("_on"), c("_sim"), F.size(nested_regions(c("cells"))) > 0, c("filled_ratio"), ok, c("toc_context"), c("weighted_toc_ratio"))
     # through a generator of one row: the filter below would else be pushed under the grids' projections and spell them all out

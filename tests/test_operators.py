@@ -95,6 +95,26 @@ def test_normalize_and_judge(spark):
     assert j["identity"] == "NEW_TABLE" and j["is_valid"] and 0.5 < j["confidence"] <= 1
 
 
+def test_continuations_are_judged_by_their_similarity(spark):
+    cell = lambda i, n: [{"physical_col": j, "text": f"{i}.{j}"} for j in range(n)]
+    made = lambda page, name, y, n: (1, page, page, name, [0.0, y, 300.0, y + 200.0], 800.0, n, [{"physical_row": i, "cells": cell(i, n)} for i in range(5)])
+    kind = "doc_id int, page int, ordinal int, table_id string, bbox array<double>, page_height double, physical_cols int, rows array<struct<physical_row:int,cells:array<struct<physical_col:int,text:string>>>>"
+    sure = {}
+    for n in (7, 6):
+        e = spark.createDataFrame([made(1, "a", 590.0, 7), made(2, "b", 20.0, n)], kind)
+        on = F.when(F.col("page") == 2, F.array(*[F.lit(f"h{j}") for j in range(n)]))
+        e = tables.near_edges(e).withColumns({"parent_cols": F.when(F.col("page") == 2, F.lit(n)), "parent_header": on, "parent_bbox": F.col("bbox")})
+        ctx = tables.normalize(e).withColumns({"title": F.lit("Table 1"), "section_hint": F.lit(None).cast("string"), "toc_context": F.lit(False), "grid_line_score": F.lit(0.0), "seq": F.col("page")})
+        who = tables.identity_parents(ctx).where("table_id = 'b'").withColumns({"header_inherited": F.lit(True)}).first()
+        assert who["parent_id"] == "a" and len(who["parent_signature"]) == 7 and len(who["column_signature"]) == n
+        ready = tables.identity_parents(ctx).withColumns({"header_inherited": F.lit(True)})
+        sure[n] = [(r["identity"], r["confidence"]) for r in tables.judge(ready).where("table_id = 'b'").collect()][0]
+        # as with a parent of the same columns: what the constant 1.0 gave
+        same = tables.judge(ready.withColumn("parent_signature", F.col("column_signature"))).where("table_id = 'b'").first()
+        assert (sure[n][1] < same["confidence"]) == (n == 6)
+    assert sure[7][0] == sure[6][0] == "CONTINUATION"
+
+
 def stitched(spark, prev, cur):
     fields = ["doc_id", "table_id", "page", "bbox", "page_height", "column_signature", "col_count", "title", "section_hint", "glossary", "hint_id", "header", "preceding_text"]
     kind = "doc_id int, table_id string, page int, bbox array<double>, page_height double, column_signature array<double>, col_count int, title string, section_hint string, glossary boolean, hint_id string, header array<string>, preceding_text string"
