@@ -6,7 +6,6 @@ grids and tables, document lines as text blocks.  Every query runs over whole ta
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -17,6 +16,7 @@ from dossio.functions import cast as C
 from dossio.functions import geom as G
 from dossio.functions import text as T
 from dossio.operators import facts, images, jobs, repairs, rules, stitch, tables, text_blocks, words
+from dossio.shared import shared_folder
 from dossio.shipping import ship
 from dossio.sources import files
 from dossio.streaming import intake
@@ -507,8 +507,7 @@ def job_statuses(spark, sf_dir):
 def event_log_stream(spark, sf_dir):
     """The events as a stream (every file there is, once) into an append-only log, read back."""
     batch = read(spark, sf_dir, "events")
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="dossio-stream-")
-    root = f"{conf.rstrip('/')}/log-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark).rstrip('/')}/log-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(batch.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet" if _is_folder(spark, f"{sf_dir}/events.parquet") else f"{sf_dir}/event[s].parquet")
     intake.append_log(stream, f"{root}/out", f"{root}/state").awaitTermination()
     return spark.read.parquet(f"{root}/out")
