@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dossio.shared import shared_folder
 from dossio.shipping import ship
 
-#: Most boundaries that the driver holds for one ordered exchange.
-MAX_RANGES = 16384
+#: Most ranges of one ordered exchange.  Ranges are streamed and sorted with spills, so beyond this number they grow
+#: in size, not in memory: 100 TB make ranges of 1.5 GB.
+MAX_RANGES = 65536
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,27 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share.  A temporary one is set only where the session names none (tests)."""
-    sc = spark.sparkContext
-    named = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="dossio-shared-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(named)
-    return sc.getConf().get("spark.checkpoint.dir") or named
-
-
 def scratch_uri(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def row_hash(docs: DataFrame):
+    """A hash of all columns that can be hashed: rows equal in them are taken for repeats."""
+    names = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    return F.xxhash64(*[F.col(f"`{n}`") for n in names])
+
+
 def range_bounds(df: DataFrame, key: str, rows_per_range: int = 4096) -> list:
     """Ascending distinct key values that split ``df`` into ranges of about equal rows.
 
@@ -49,7 +45,7 @@ def range_bounds(df: DataFrame, key: str, rows_per_range: int = 4096) -> list:
     if n == 1:
         return []
     at = F.array(*[F.lit(i / n) for i in range(1, n)])
-    found = df.agg(F.percentile_approx(key, at, F.lit(max(10000, 20 * n))).alias("b")).first()["b"]
+    found = df.agg(F.percentile_approx(key, at, F.lit(max(10000, 4 * n))).alias("b")).first()["b"]
     return sorted(set(found or []))
 
 
@@ -72,7 +68,10 @@ def range_of(key, bounds: list):
 
 
 def in_order(df: DataFrame, key: str, ties: list, rows_per_range: int = 4096) -> tuple[DataFrame, int]:
-    """``df`` with a column ``_range``, one partition a range, rows sorted by key (nulls first), then ties."""
+    """``df`` with a column ``_range``, one partition a range, rows sorted by key (nulls first), then ties.
+
+    Rows without a key all fall into the first range, which is streamed and sorted with spills like the others.
+    """
     bounds = range_bounds(df, key, rows_per_range)
     n = len(bounds) + 1
     dealt = df.withColumn("_range", range_of(F.col(key), bounds)).repartitionById(n, F.col("_range"))
