@@ -28,8 +28,10 @@ from dossio.llm.common import cut
 
 LEAST = 16
 SEGMENTS = 6
-#: Rows of a key table that may be broadcast; a larger one is joined by shuffling.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a key table that may be broadcast; a larger one is joined by shuffling.
+BROADCAST_BYTES = 32 << 20
+#: A line with more than this share of all lines is hot; there are HOT_SHARE such lines at most.
+HOT_SHARE = 1000
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -59,9 +61,14 @@ def _frames(line):
     return F.when(own == less, every(own)).otherwise(F.concat(every(own), every(less)))
 
 
+def _leaves(kind) -> int:
+    return sum(_leaves(f.dataType) for f in kind.fields) if hasattr(kind, "fields") else 1
+
+
 def _bounded(df: DataFrame) -> DataFrame:
-    """``df`` (a checkpoint), marked for broadcast where it has few enough rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """``df`` (a checkpoint of numbers), marked for broadcast where it has few enough bytes, by its rows and their width."""
+    most = BROADCAST_BYTES // (32 + 12 * _leaves(df.schema))
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
 def _near(lines: DataFrame, firsts: DataFrame) -> DataFrame:
@@ -93,35 +100,44 @@ def _near(lines: DataFrame, firsts: DataFrame) -> DataFrame:
 
 
 def dropped_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, line_no) of every occurrence that an earlier equal or near line makes redundant."""
+    """(doc_id, line_no) of every occurrence that an earlier equal or near line makes redundant.
+
+    The occurrences of a hot line are dealt to several tasks, its verdict to each of them.
+    """
     lines = lines_of(docs)
     seen = _hashed(lines).select("h1", "h2", "doc_id", "line_no")
     firsts = cut(seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")))
     near = cut(_near(lines, firsts))
+    share = max(1, (firsts.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    deals = F.ceil(F.col("n") / share).cast("int")
     # lines that occur once and have no earlier neighbour need no verdict
-    verdict = firsts.join(near, ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("near_first").isNotNull()).select("h1", "h2", F.least("first", F.coalesce("near_first", "first")).alias("keep"))
-    return seen.join(verdict, ["h1", "h2"]).where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("keep"))).select("doc_id", "line_no").distinct()
+    verdict = firsts.join(near, ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("near_first").isNotNull()).select("h1", "h2", F.least("first", F.coalesce("near_first", "first")).alias("keep"), F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"))
+    hot = F.broadcast(firsts.where(F.col("n") > share).select("h1", "h2", deals.alias("deals")))  # HOT_SHARE rows at most
+    dealt = seen.join(hot, ["h1", "h2"], "left").withColumn("deal", F.coalesce(F.pmod(F.xxhash64("doc_id", "line_no"), F.col("deals")), F.lit(0)).cast("int"))
+    return dealt.join(verdict, ["h1", "h2", "deal"]).where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("keep"))).select("doc_id", "line_no").distinct()
 
 
 def _drops(docs: DataFrame) -> DataFrame:
-    return dropped_lines(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list("line_no")).alias("_dropped"))
+    return dropped_lines(docs.select("doc_id", "text")).groupBy(F.col("doc_id").alias("drop_id")).agg(F.array_sort(F.collect_list("line_no")).alias("dropped"))
 
 
 def report(docs: DataFrame) -> DataFrame:
     """A row for each document: doc_id, n_lines, n_dropped, dropped (line numbers from 0, joined by commas)."""
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines")).withColumn("n_lines", F.greatest("n_lines", F.lit(0)))
-    both = sizes.join(drops := _drops(docs), sizes["doc_id"].eqNullSafe(drops["_id"]), "left")
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)), F.lit(0)).cast("long").alias("n_lines"))
+    both = sizes.join(drops := _drops(docs), sizes["doc_id"].eqNullSafe(drops["drop_id"]), "left")
     none = F.array().cast("array<int>")
-    return both.select("doc_id", "n_lines", F.size(F.coalesce("_dropped", none)).cast("long").alias("n_dropped"), F.array_join(F.coalesce("_dropped", none), ",").alias("dropped"))
+    return both.select("doc_id", "n_lines", F.size(F.coalesce("dropped", none)).cast("long").alias("n_dropped"), F.array_join(F.coalesce("dropped", none), ",").alias("dropped"))
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """``docs`` with the redundant lines taken out of their texts; all columns stay."""
+    """``docs`` with the redundant lines taken out of their texts; all columns stay, in one struct on the way."""
     drops = _drops(docs)
-    lines = F.split("text", "\n", -1)
-    kept = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("_dropped", s["i"]))
-    text = F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
-    return docs.join(drops, docs["doc_id"].eqNullSafe(drops["_id"]), "left").withColumn("text", text).select(*docs.columns)
+    held = docs.select(F.col("doc_id").cast("long").alias("held_id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    lines = F.split("row.text", "\n", -1)
+    kept = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: ~F.array_contains("dropped", s["i"]))
+    text = F.when(F.col("dropped").isNull(), F.col("row.text")).otherwise(F.array_join(F.transform(kept, lambda s: s["x"]), "\n"))
+    both = held.join(drops, held["held_id"].eqNullSafe(drops["drop_id"]), "left")
+    return both.select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
 
 ORACLE = f"""
