@@ -192,11 +192,11 @@ def test_lines_of_odd_rows(spark, odd):
 # --- op5
 
 
-def brute_print(text):
+def brute_print(text, k=3):
     import xxhash
 
     w = (text or "").encode().lower().split()
-    k = min(3, len(w))
+    k = min(k, len(w))
     h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + k]), 42) for i in range(len(w) - k + 1)] if w else []
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
@@ -227,8 +227,6 @@ def test_components_against_brute_force(spark, monkeypatch, limit):
                 up[b] = a
     got = simhash_dedup.near_duplicates(docs(spark, texts)).collect()
     assert {r["doc_id"]: (r["fp"] & (1 << 64) - 1, r["component_id"]) for r in got} == {i: (fps[i], root(i)) for i in range(len(texts))}
-    left = simhash_dedup.deduplicate(docs(spark, texts))
-    assert sorted(r["doc_id"] for r in left.collect()) == sorted({root(i) for i in range(len(texts))})
 
 
 @pytest.mark.parametrize("limit", [4096, 2, 20])
@@ -499,7 +497,7 @@ def test_pipeline_stages(spark):
     kept = {r["doc_id"] for r in good.select("doc_id").collect()}
     assert good.columns == d.columns and sum((i in kept) == bool(q) for i, q in labels.items()) / len(labels) >= 0.9
     single = stage["near_dedup"](spark, good, SF).cache()
-    texts = {r["doc_id"]: brute_print(r["text"]) for r in good.collect()}
+    texts = {r["doc_id"]: brute_print(r["text"], 5) for r in good.collect()}
     left = sorted(r["doc_id"] for r in single.select("doc_id").collect())
     assert all((texts[a] ^ texts[b]).bit_count() > 3 for k, a in enumerate(left) for b in left[:k])
     pure = stage["decontamination"](spark, single, SF).cache()
