@@ -16,7 +16,7 @@ from dossio.functions import geom as G
 from dossio.functions import text as T
 from dossio.operators.text_blocks import PAGE
 
-#: Patterns that tell titles, hints, contents lines and references.
+#: Patterns that tell titles, hints, contents lines and references, and the limits by which tables are judged.
 TITLE = r"(?i)^\s*(?:附?表\s*[0-9A-Za-z一二三四五六七八九十零〇.\-]+|table\s*[0-9A-Za-z.\-]+)\s*(?:[.:：、\-]|\s+)"
 SECTION_HINT = r"(?i)术语表|词汇表|名词表|名词解释|参数表|清单|附录表|glossary"
 CONTENTS_HEADING = r"(?i)^\s*(?:目录|contents)\s*$"
@@ -185,7 +185,7 @@ def empty_rows(grid: Column) -> Column:
 
 def merge_split_rows(grid: Column) -> Column:
     """Rows that hold a torn-off last character of the row above (and repeat its text) go into it, bottom up; blank rows go then."""
-    torn = ("夹", "件", "文", "的", "等", "表", "书", "明")
+    torn = ("夹", "件", "文", "的", "等", "表", "书", "明")  # fixed values
     flat = lambda c: F.translate(T.strip(c), "\n", " ")
     at_torn = lambda r: F.array_min(F.filter(F.transform(r, lambda c, i: F.when(T.strip(c).isin(*torn), i)), lambda i: i.isNotNull()))
 
@@ -230,37 +230,59 @@ def emitted_score(filled, slots, aligned, rows, digits, cells) -> Column:
     return F.when(cells == 0, 0.0).otherwise(_score(filled, slots, aligned, rows, digits, (0.45, 0.35, 0.20)))
 
 
+def _mean_of(texts: Column, weight) -> Column:
+    """Mean of a row weight over the texts, 1 at most, 0 without any."""
+    n = F.size(texts)
+    return F.when(n <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.aggregate(texts, F.lit(0.0), lambda a, t: a + weight(t)) / n))
+
+
+def _dotted(t: Column) -> Column:
+    """Whether a row may hold leaders at all."""
+    return F.contains(t, F.lit("..")) | t.rlike("[·…]")
+
+
+def is_contents_line(t: Column) -> Column:
+    return (_dotted(t) & t.rlike(LEADER_LINE)) | t.rlike(NUMBERED_LINE)
+
+
 def contents_ratio(texts: Column) -> Column:
     """Share of rows that are contents lines, as written out."""
-    hits = F.size(F.filter(texts, lambda t: t.rlike(LEADER_LINE) | t.rlike(NUMBERED_LINE)))
-    return F.when(F.size(texts) <= 0, 0.0).otherwise(F.least(F.lit(1.0), hits / F.size(texts)))
+    return _mean_of(texts, lambda t: F.when(is_contents_line(t), 1.0).otherwise(0.0))
 
 
-def contents_weight(text: Column) -> Column:
-    """How much a row is a contents line: 1, 0.75, 0.65 or 0."""
-    t = T.strip(text)
+def _contents_weight(t: Column) -> Column:
     middle = F.regexp_extract(t, r"^\S+(?U)\s+(.*)\s+\S+$", 1)
     numbered = t.rlike(r"^\d+(?:\.\d+){1,4}(?U)\s+\S.*\s\d{1,3}$") & middle.rlike(r"[A-Za-z\x{4E00}-\x{9FFF}]") & (middle.rlike(r"[.·…]{2,}") | (F.length(middle) >= 3))
-    return F.when(t.rlike(LEADER_LINE), 1.0).when(numbered, 0.75).when(t.rlike(r"[.·…]{2,}") & t.rlike(r"\d{1,3}$"), 0.65).otherwise(0.0)
+    return F.when(_dotted(t) & t.rlike(LEADER_LINE), 1.0).when(numbered, 0.75).when(_dotted(t) & t.rlike(r"[.·…]{2,}") & t.rlike(r"\d{1,3}$"), 0.65).otherwise(0.0)
+
+
+def contents_weight(text: Column) -> Column:
+    """How much a row is a contents line: 1, 0.75, 0.65 or 0."""
+    return _contents_weight(T.strip(text))
 
 
 def weighted_contents_ratio(texts: Column) -> Column:
     """The same by weights, which validity rests on."""
-    return F.when(F.size(texts) <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.aggregate(texts, F.lit(0.0), lambda a, t: a + contents_weight(t)) / F.size(texts)))
+    return _mean_of(F.transform(texts, T.strip), _contents_weight)
 
 
-def reference_weight(text: Column) -> Column:
-    """How much a row is a reference, 1 at most."""
-    t = T.strip(text)
+def _reference_weight(t: Column) -> Column:
     low = F.lower(t)
     part = lambda hit, w: F.when(hit, w).otherwise(0.0)
-    book = F.contains(t, F.lit("——《")) | (F.contains(t, F.lit("《")) & F.contains(t, F.lit("》")))
-    return F.least(F.lit(1.0), part(book, 0.9) + part(t.rlike(REFERENCE_ROW), 0.75) + part(t.rlike(r"(?i)\bV\d+(?:\.\d+){1,3}\b"), 0.45) + part(F.contains(low, F.lit("ich")), 0.35) + part(low.rlike("specification|document|technical|change request"), 0.25))
+    book = F.contains(t, F.lit("《")) & (F.contains(t, F.lit("》")) | F.contains(t, F.lit("——《")))
+    version = F.contains(low, F.lit("v")) & t.rlike(r"(?i)\bV\d+(?:\.\d+){1,3}\b")
+    said = F.contains(low, F.lit("specification")) | F.contains(low, F.lit("document")) | F.contains(low, F.lit("technical")) | F.contains(low, F.lit("change request"))
+    return F.least(F.lit(1.0), part(book, 0.9) + part(t.rlike(REFERENCE_ROW), 0.75) + part(version, 0.45) + part(F.contains(low, F.lit("ich")), 0.35) + part(said, 0.25))
+
+
+def reference_weight(text: Column) -> Column:
+    """How much a row is a reference, 1 at most."""
+    return _reference_weight(T.strip(text))
 
 
 def reference_ratio(texts: Column) -> Column:
-    full = F.filter(texts, lambda t: T.strip(t) != "")
-    return F.when(F.size(full) <= 0, 0.0).otherwise(F.least(F.lit(1.0), F.aggregate(full, F.lit(0.0), lambda a, t: a + reference_weight(t)) / F.size(full)))
+    """Mean reference weight of the rows that aren't blank."""
+    return _mean_of(F.filter(F.transform(texts, T.strip), lambda t: t != ""), _reference_weight)
 
 
 def is_valid(rows, cols, score, title, hint, continues, marked, contents, grid_lines, contents_share, reference_share) -> Column:

@@ -59,17 +59,32 @@ def _overlaid(a: Column, b: Column) -> Column:
     return (G.vertical_overlap(a, b) >= 0.6) & (G.horizontal_overlap(a, b) >= 0.18)
 
 
-def should_merge(left: Column, right: Column, page_width: Column, tolerance: Column) -> Column:
-    """Whether two neighbouring blocks are one line of text."""
-    a, b, ta, tb = left["bbox"], right["bbox"], T.clean_text(left["text"]), T.clean_text(right["text"])
+def _facing(left: Column, right: Column, page_width: Column, tolerance: Column) -> Column:
+    """Whether two neighbouring blocks with what is known of their texts are one line of text."""
+    a, b = left["bbox"], right["bbox"]
     tall = lambda x: F.greatest(F.lit(1.0), G.height(x))
     aligned = (F.abs(G.y_center(a) - G.y_center(b)) <= tolerance) | (G.vertical_overlap(a, b) >= 0.6)
     gap = b[0] - a[2]
     apart = gap <= F.greatest(F.lit(24.0), page_width * 0.045, F.least(tall(a), tall(b)) * 2.4)
     fa, fb = left["font_size"], right["font_size"]
     same_font = (fa <= 0) | (fb <= 0) | (F.greatest(fa, fb) / F.greatest(F.lit(0.1), F.least(fa, fb)) <= 1.45) | _overlaid(a, b)
-    short = T.has_cjk(ta) | T.has_cjk(tb) | ((F.length(ta) <= 64) & (F.length(tb) <= 64))
-    return aligned & ((gap >= -2.5) | _overlaid(a, b)) & apart & (ta != "") & (tb != "") & ~T.ends_with_break(ta) & ~T.starts_with_break(tb) & same_font & short
+    short = left["cjk"] | right["cjk"] | ((F.length(left["text"]) <= 64) & (F.length(right["text"]) <= 64))
+    return (left["text"] != "") & (right["text"] != "") & ~left["ends"] & ~right["starts"] & short & aligned & apart & ((gap >= -2.5) | _overlaid(a, b)) & same_font
+
+
+#: A block with what the merge asks of its clean text: its compact form, whether it begins or ends like a break, and has Chinese.
+KNOWN = BLOCK[:-1] + ",compact:string,starts:boolean,ends:boolean,cjk:boolean>"
+
+
+def _known(b: Column) -> Column:
+    t = b["text"]
+    more = [T.compact_text(t).alias("compact"), T.starts_with_break(t).alias("starts"), T.ends_with_break(t).alias("ends"), T.has_cjk(t).alias("cjk")]
+    return F.struct(*[b[n].alias(n) for n in ("bbox", "text", "font_size", "source", "indices")], *more).cast(KNOWN)
+
+
+def should_merge(left: Column, right: Column, page_width: Column, tolerance: Column) -> Column:
+    """Whether two neighbouring blocks (their texts clean) are one line of text."""
+    return _facing(_known(left), _known(right), page_width, tolerance)
 
 
 def _block(bbox: Column, text: Column, font: Column, source: Column, indices: Column) -> Column:
@@ -81,23 +96,41 @@ def _last(acc: Column) -> Column:
 
 
 def merge_fold(blocks: Column, page_width: Column) -> Column:
-    """Blocks in reading order, each merged into the last one where they are one line."""
+    """Blocks (KNOWN) in reading order, each merged into the last one where they are one line."""
     tolerance = F.greatest(F.lit(2.5), median(F.transform(blocks, lambda b: F.greatest(F.lit(1.0), G.height(b["bbox"])))) * 0.45)
 
-    def step(acc, x):
-        last = _last(acc)
-        both = F.filter(F.array(last["font_size"], x["font_size"]), lambda v: v > 0)
-        source = F.when(x["source"] == "image-text-recovery", "semantic-merged-image-text").otherwise(last["source"])
-        merged = _block(G.rounded(G.union(last["bbox"], x["bbox"])), T.join_fragments(last["text"], x["text"]), F.coalesce(median(both), F.lit(0.0)), source, F.concat(last["indices"], x["indices"]))
-        joins = F.coalesce((F.size(acc) > 0) & should_merge(last, x, page_width, tolerance), F.lit(False))
-        return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(merged))).otherwise(F.concat(acc, F.array(x)))
+    def fold(x):
+        def step(acc, b):
+            last = _last(acc)
+            both = F.filter(F.array(last["font_size"], b["font_size"]), lambda v: v > 0)
+            source = F.when(b["source"] == "image-text-recovery", "semantic-merged-image-text").otherwise(last["source"])
+            merged = F.struct(
+                G.rounded(G.union(last["bbox"], b["bbox"])).alias("bbox"),
+                T.join_fragments(last["text"], b["text"]).alias("text"),
+                F.coalesce(median(both), F.lit(0.0)).alias("font_size"),
+                source.alias("source"),
+                F.concat(last["indices"], b["indices"]).alias("indices"),
+                F.concat(last["compact"], b["compact"]).alias("compact"),  # no space stays in it
+                last["starts"].alias("starts"),
+                b["ends"].alias("ends"),
+                (last["cjk"] | b["cjk"]).alias("cjk"),
+            ).cast(KNOWN)
+            joins = F.coalesce((F.size(acc) > 0) & _facing(last, b, page_width, x["tolerance"]), F.lit(False))
+            return F.when(joins, F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(merged))).otherwise(F.concat(acc, F.array(b)))
+
+        return F.aggregate(F.filter(x["blocks"], lambda b: b["text"] != ""), F.array().cast(f"array<{KNOWN}>"), step)
+
+    # the tolerance is worked out once, not for every block
+    return F.element_at(F.transform(F.array(F.struct(blocks.alias("blocks"), tolerance.alias("tolerance"))), fold), 1)
+
 
-    return F.aggregate(F.filter(blocks, lambda b: b["text"] != ""), F.array().cast(f"array<{BLOCK}>"), step)
+def _holds(a: Column, b: Column) -> Column:
+    return (a != "") & (b != "") & (F.contains(a, b) | F.contains(b, a))
 
 
 def is_duplicate(a: Column, b: Column) -> Column:
     """Whether two blocks overlap and one's text holds the other's."""
-    return (G.intersection_ratio(a["bbox"], b["bbox"]) >= 0.72) & (T.contains_text(a["text"], b["text"]) | T.contains_text(b["text"], a["text"]))
+    return (G.intersection_ratio(a["bbox"], b["bbox"]) >= 0.72) & _holds(T.compact_text(a["text"]), T.compact_text(b["text"]))
 
 
 def _replace_first(acc: Column, hit, new) -> Column:
@@ -107,34 +140,36 @@ def _replace_first(acc: Column, hit, new) -> Column:
 
 
 def dedup_fold(blocks: Column) -> Column:
-    """Blocks without duplicates of an earlier one; the longer text takes the earlier one's place."""
+    """Blocks (KNOWN) without duplicates of an earlier one; the longer text takes the earlier one's place."""
 
     def step(acc, x):
-        at, put = _replace_first(acc, lambda k: is_duplicate(x, k), lambda k: F.when(F.length(T.compact_text(x["text"])) > F.length(T.compact_text(k["text"])), x).otherwise(k))
-        return F.when(at.isNull(), F.concat(acc, F.array(x))).otherwise(put)
+        same = lambda k: (G.intersection_ratio(x["bbox"], k["bbox"]) >= 0.72) & _holds(x["compact"], k["compact"])
+        at, put = _replace_first(acc, same, lambda k: F.when(F.length(x["compact"]) > F.length(k["compact"]), x).otherwise(k))
+        return F.when(F.exists(acc, same), put).otherwise(F.concat(acc, F.array(x)))
 
     order = F.array_sort(F.transform(blocks, lambda b, i: F.struct(b["bbox"][1].alias("y"), b["bbox"][0].alias("x"), i.alias("i"), b.alias("b"))))
-    return F.aggregate(F.transform(order, lambda o: o["b"]), F.array().cast(f"array<{BLOCK}>"), step)
+    return F.aggregate(F.transform(order, lambda o: o["b"]), F.array().cast(f"array<{KNOWN}>"), step)
 
 
 def near_duplicate_fold(blocks: Column) -> Column:
-    """Blocks of equal compact text on the same line are one, with the tighter box and the longer text."""
+    """Blocks (KNOWN) of equal compact text on the same line are one, with the tighter box and the longer text."""
 
     def step(acc, x):
-        text = T.compact_text(x["text"])
-        same = lambda k: (T.compact_text(k["text"]) == text) & (G.vertical_overlap(k["bbox"], x["bbox"]) >= 0.6) & G.close(k["bbox"], x["bbox"])
+        same = lambda k: (k["compact"] == x["compact"]) & (G.vertical_overlap(k["bbox"], x["bbox"]) >= 0.6) & G.close(k["bbox"], x["bbox"])
         longer = lambda k: F.when(F.length(x["text"]) > F.length(k["text"]), x["text"]).otherwise(k["text"])
-        at, put = _replace_first(acc, same, lambda k: _block(G.rounded(G.compact_choice(k["bbox"], x["bbox"])), longer(k), k["font_size"], k["source"], k["indices"]))
-        return F.when((text == "") | at.isNull(), F.concat(acc, F.array(x))).otherwise(put)
+        take = lambda k: k.withField("bbox", G.rounded(G.compact_choice(k["bbox"], x["bbox"]))).withField("text", longer(k))
+        at, put = _replace_first(acc, same, take)
+        return F.when((x["compact"] != "") & F.exists(acc, same), put).otherwise(F.concat(acc, F.array(x)))
 
-    return F.aggregate(blocks, F.array().cast(f"array<{BLOCK}>"), step)
+    return F.aggregate(blocks, F.array().cast(f"array<{KNOWN}>"), step)
 
 
 def merge_blocks(blocks: DataFrame, pages: DataFrame) -> DataFrame:
     """Merged and deduplicated blocks of each page, numbered anew: doc_id, page, ordinal, block_id, bbox, text, font_size, source, indices, n_merged."""
     one = _block(F.col("bbox"), T.clean_text(F.col("text")), F.coalesce("font_size", F.lit(0.0)).cast("double"), F.coalesce("source", F.lit("text-layer")), F.array("ordinal").cast("array<int>"))
-    sorted_blocks = F.transform(F.array_sort(F.collect_list(F.struct(F.col("bbox")[1].alias("y"), F.col("bbox")[0].alias("x"), F.col("ordinal").alias("i"), one.alias("b")))), lambda o: o["b"])
-    held = blocks.groupBy(*PAGE).agg(sorted_blocks.alias("blocks")).join(pages.select(*PAGE, F.col("width").cast("double").alias("width")), PAGE)
+    known = blocks.select(*PAGE, "bbox", "ordinal", one.alias("b")).withColumn("b", _known(F.col("b")))
+    sorted_blocks = F.transform(F.array_sort(F.collect_list(F.struct(F.col("bbox")[1].alias("y"), F.col("bbox")[0].alias("x"), F.col("ordinal").alias("i"), "b"))), lambda o: o["b"])
+    held = known.groupBy(*PAGE).agg(sorted_blocks.alias("blocks")).join(pages.select(*PAGE, F.col("width").cast("double").alias("width")), PAGE)
     merged = held.withColumn("m", merge_fold(F.col("blocks"), F.col("width"))).withColumn("d", dedup_fold(F.col("m"))).withColumn("d", near_duplicate_fold(F.col("d")))
     gone = (F.size(F.filter("blocks", lambda b: b["text"] != "")) - F.size("d")).alias("n_merged")
     out = merged.select(*PAGE, gone, F.posexplode("d").alias("i", "b"))
@@ -151,19 +186,34 @@ def is_small(bbox: Column, page_height: Column) -> Column:
     return G.clamped(G.height(bbox)) <= F.greatest(F.lit(12.0), page_height * 0.035)
 
 
-def mark_running(blocks: DataFrame, pages: DataFrame, chinese_numbers: bool = False) -> DataFrame:
-    """``blocks`` with ``running``: repeated in the margin across the document, a page number, or a stray letter or two."""
-    sized = blocks.join(pages.select(*PAGE, F.col("height").cast("double").alias("_h")), PAGE).withColumn("_in", in_margin(F.col("bbox"), F.col("_h"))).withColumn("_sig", T.running_signature(F.col("text")))
-    counted = (F.length("_sig") >= 3) & F.col("_in")
-    # counted by grouping, with map-side sums, not over a window: a running header may stand on every page
-    often = sized.where(counted).groupBy("doc_id", "_sig").agg(F.count("*").alias("_n")).where("_n >= 2").withColumn("_often", F.lit(True))
+def _sized(blocks: DataFrame, pages: DataFrame | None) -> DataFrame:
+    """``blocks`` with _h, their page's height: from ``pages``, or without them from the column page_height."""
+    if pages is None:
+        return blocks.withColumn("_h", F.col("page_height").cast("double"))
+    return blocks.join(pages.select(*PAGE, F.col("height").cast("double").alias("_h")), PAGE)
+
+
+def mark_running(blocks: DataFrame, pages: DataFrame | None = None, chinese_numbers: bool = False) -> DataFrame:
+    """``blocks`` with ``running``: repeated in the margin across the document, a page number, or a stray letter or two.
+
+    Only what stands in the margins is looked into and moves: signatures are counted by grouping, with map-side
+    sums, as a running header may stand on every page.
+    """
+    sized = _sized(blocks, pages)
+    inside = F.coalesce(in_margin(F.col("bbox"), F.col("_h")), F.lit(False))
+    margin = sized.where(inside).withColumn("_sig", T.running_signature(F.col("text")))
+    counted = F.length("_sig") >= 3
+    often = margin.where(counted).groupBy("doc_id", "_sig").agg(F.count("*").alias("_n")).where("_n >= 2").withColumn("_often", F.lit(True))
     text = T.clean_text(F.col("text"))
     stray = is_small(F.col("bbox"), F.col("_h")) & (F.length(text) <= 2) & text.rlike(r"^\p{L}+$")
-    running = F.col("_in") & ((counted & F.coalesce("_often", F.lit(False))) | T.is_page_number(text, chinese_numbers) | stray)
-    return sized.join(often, ["doc_id", "_sig"], "left").withColumn("running", F.coalesce(running, F.lit(False))).drop("_h", "_in", "_sig", "_n", "_often")
+    running = F.coalesce("_often", F.lit(False)) | T.is_page_number(text, chinese_numbers) | stray
+    marked = margin.join(often, ["doc_id", "_sig"], "left").withColumn("running", F.coalesce(running, F.lit(False)))
+    rest = sized.where(~inside).withColumn("running", F.lit(False))
+    names = [*blocks.columns, "running"]
+    return rest.select(*names).unionByName(marked.select(*names))
 
 
-def drop_running(blocks: DataFrame, pages: DataFrame, chinese_numbers: bool = False) -> DataFrame:
+def drop_running(blocks: DataFrame, pages: DataFrame | None = None, chinese_numbers: bool = False) -> DataFrame:
     return mark_running(blocks, pages, chinese_numbers).where(~F.col("running")).drop("running")
 
 

@@ -227,9 +227,8 @@ SQL_COMPACT = "regexp_replace(lower(" + SQL_CLEAN + "), '[^\\p{{L}}\\p{{N}}_]+',
     SELECT doc_id, page, CAST(ordinal AS INTEGER) AS ordinal, text FROM m WHERE NOT (band AND ((length(sig) >= 3 AND (doc_id, sig) IN (SELECT (doc_id, sig) FROM n)) OR regexp_full_match(t, '\\d{{1,4}}(\\s*/\\s*\\d{{1,4}})?')
         OR regexp_full_match(t, '\\d{{1,4}}\\s*-\\s*\\d{{1,4}}') OR regexp_full_match(t, '(?i)[ivxlcdm]+') OR regexp_full_match(t, '\\p{{L}}') OR regexp_full_match(t, '\\p{{L}}{{1,2}}')))""")
 def header_footer_filter(spark, sf_dir):
-    blocks = document_lines(spark, sf_dir)
-    pages = blocks.select("doc_id", "page", F.lit(800.0).alias("height")).distinct()
-    return text_blocks.drop_running(blocks, pages).select("doc_id", "page", "ordinal", "text")
+    blocks = document_lines(spark, sf_dir).withColumn("page_height", F.lit(800.0))
+    return text_blocks.drop_running(blocks).select("doc_id", "page", "ordinal", "text")
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM documents)

@@ -23,6 +23,7 @@ from dossio.shipping import ship
 OLE = bytes.fromhex("D0CF11E0A1B11AE1")
 ENCODINGS = ("utf-8", "gb18030", "utf-16le", "utf-16be")
 LEAST_QUALITY = 0.55
+PLAIN_HINT = "doc-plain-text"
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
 UNIT = "struct<ordinal:int,pointer:string,tag:string,attributes:map<string,string>,text:string,notes:string>"
@@ -74,7 +75,7 @@ def _slide_number(name: str) -> int:
     return int(re.search(r"(\d+)\.xml$", name)[1])
 
 
-def _runs(raw: bytes, shapes: bool = True) -> list[str]:
+def _runs(raw: bytes) -> list[str]:
     found = []
     for shape in ElementTree.fromstring(raw).iter("{http://schemas.openxmlformats.org/presentationml/2006/main}sp"):
         text = "\n".join("".join(t.text or "" for t in p.iter(f"{A}t")) for p in shape.iter(f"{A}p")).strip()
@@ -113,47 +114,35 @@ def decode_xml(raw: bytes) -> tuple[list[dict], int | None, str]:
     return units, None, "xml-tree-v1"
 
 
-def quality(text: str) -> float:
-    """Share of printable and of informative characters, less that of replacement ones."""
-    if not text:
-        return 0.0
-    marks = set("，。；：、（）《》“”‘’！？,.:;!?()[]{}+-/_")
-    shown = sum(c.isprintable() for c in text)
-    said = sum(c.isalnum() or "一" <= c <= "鿿" or c in marks for c in text)
-    return 0.45 * shown / len(text) + 0.55 * said / len(text) - 1.5 * text.count("�") / len(text)
-
+def decode_doc(raw: bytes, converter=None) -> tuple[list[dict], int | None, str]:
+    """Legacy Word through an external converter (bytes to text or None); without its text, a candidate for each of ENCODINGS.
 
-def is_mojibake(text: str) -> bool:
-    if not text:
-        return True
-    tokens, cjk = len(text.split()), sum("一" <= c <= "鿿" for c in text) / len(text)
-    rows = sum(bool(x.strip()) for x in text.splitlines())
-    latin = any("a" <= c.lower() <= "z" for c in text)
-    return (len(text) > 400 and rows <= 3 and tokens <= 4 and cjk > 0.65) or (not latin and tokens <= 2 and cjk > 0.85)
+    Candidates are units whose pointer names the encoding; ``decode`` scores them and keeps the lines of the best.
+    """
+    text = converter(raw) if converter else None
+    if text:
+        return [_unit(i, t) for i, x in enumerate(text.splitlines()) if (t := _squeeze(x.replace("\x00", "")))], None, "doc-converter"
+    if raw[:8] == OLE:
+        raise ValueError("a legacy Word file needs a converter")
+    return [_unit(k, "\n".join(filter(None, map(_squeeze, raw.decode(e, "ignore").splitlines()))), pointer=e) for k, e in enumerate(ENCODINGS)], None, PLAIN_HINT
 
 
-def best_text(raw: bytes) -> str | None:
-    """The decoding of best quality, the first on ties; null under LEAST_QUALITY."""
-    found, best = None, 0.0
-    for e in ENCODINGS:
-        text = "\n".join(x for x in map(_squeeze, raw.decode(e, "ignore").splitlines()) if x)
-        if not is_mojibake(text) and quality(text) > best:
-            found, best = text, quality(text)
-    return found if best >= LEAST_QUALITY else None
+def best_candidate(units):
+    """The text of best quality among candidates, the first on ties; null where none reaches LEAST_QUALITY or all are mojibake."""
+    scored = F.transform(F.filter(units, lambda u: ~T.is_mojibake(u["text"])), lambda u: F.struct(T.text_quality(u["text"]).alias("q"), (-u["ordinal"]).alias("o"), u["text"].alias("text")))
+    best = F.array_max(scored)
+    return F.when(best["q"] >= LEAST_QUALITY, best["text"])
 
 
-def decode_doc(raw: bytes, converter=None) -> tuple[list[dict], int | None, str]:
-    """Legacy Word: an external converter (bytes to text or None) if given, else plain text; an OLE file needs the converter."""
-    text = converter(raw) if converter else None
-    hint = "doc-converter"
-    if not text:
-        if raw[:8] == OLE:
-            raise ValueError("a legacy Word file needs a converter")
-        text, hint = best_text(raw), "doc-plain-text"
-    units = [_unit(i, t) for i, x in enumerate((text or "").splitlines()) if (t := _squeeze(x.replace("\x00", "")))]
-    if not units:
-        raise ValueError("the document has no text")
-    return units, None, hint
+def _settled(decoded: DataFrame) -> DataFrame:
+    """Decoded files with candidates replaced by the lines of the best; one without is an error."""
+    plain = F.col("parser_hint") == PLAIN_HINT
+    lines = F.transform(T.paragraphs_of(F.col("_best")), lambda p: F.struct(p["index"].alias("ordinal"), F.lit(None).cast("string").alias("pointer"), F.lit(None).cast("string").alias("tag"), F.create_map().cast("map<string,string>").alias("attributes"), p["text"].alias("text"), F.lit(None).cast("string").alias("notes")))
+    none = F.array().cast(f"array<{UNIT}>")
+    made = decoded.withColumn("_best", F.when(plain, best_candidate(F.col("units"))))
+    made = made.withColumn("units", F.when(plain, F.coalesce(lines.cast(f"array<{UNIT}>"), none)).otherwise(F.col("units")))
+    empty = plain & (F.size("units") == 0)
+    return made.withColumn("error", F.when(empty, "ValueError: the document has no text").otherwise(F.col("error"))).withColumn("parser_hint", F.when(~empty | F.col("parser_hint").isNull(), F.col("parser_hint"))).drop("_best")
 
 
 DECODERS = {".docx": (decode_docx, "word"), ".doc": (decode_doc, "word"), ".pptx": (decode_pptx, "presentation"), ".ppt": (decode_ppt, "presentation"), ".xml": (decode_xml, "xml")}
@@ -183,7 +172,7 @@ def decode(files: DataFrame, pdf=None) -> DataFrame:
             made["page_count"] = made["page_count"].astype("Int32")
             yield made
 
-    return files.select("path", "suffix", "content").mapInPandas(run, DECODED)
+    return _settled(files.select("path", "suffix", "content").mapInPandas(run, DECODED))
 
 
 def documents(decoded: DataFrame) -> DataFrame:
