@@ -28,7 +28,7 @@ def test_a_hundred_thousand_matches(spark, word, column, length):
     assert all((a, b) == (i * len(word), i * len(word) + length) for i, (a, b) in enumerate(spans))
 
 
-@pytest.mark.parametrize("text", ["a/" * 100_000, "/x" * 100_000, "aB" * 100_000, "a" * 500_000, "A-" * 100_000])
+@pytest.mark.parametrize("text", ["a/" * 100_000, "/x" * 100_000, "aB" * 100_000, "z" * 500_000, "A-" * 100_000])
 def test_long_candidates_that_are_no_secrets(spark, text):
     row, took = scanned(spark, text)
     assert row["spans"] == "" and took < 60
