@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from dossio.functions.fold import changes, once
+
 SPACE = r"\s\x1c-\x1f"
 #: The same as a string of characters, for trimming, and as ranges, which test faster.
 WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
@@ -322,20 +324,24 @@ def preview_lines(c: Column) -> Column:
     return F.filter(F.transform(anchored, _body_line), lambda x: ~is_noise_line(x))
 
 
+def distinct_runs(lines: Column) -> Column:
+    """Lines without those that repeat the one before."""
+    return changes(lines, lambda a, b: a.eqNullSafe(b))
+
+
 def preview(lines: Column, max_chars: int = 500) -> Column:
     """Preview of readable lines (a column, as a Python function can't stand inside a lambda): Chinese ones alone where there are some, repeats dropped, cut with an ellipsis."""
     chinese = F.filter(lines, lambda x: cjk_count(x) >= 2)
     kept = F.when(F.exists(lines, lambda x: cjk_count(x) >= 4) & (F.size(chinese) > 0), chinese).otherwise(lines)
-    single = F.filter(kept, lambda x, i: (i == 0) | (x != F.element_at(kept, F.greatest(i, F.lit(1)))))
 
     def step(acc, line):
         more = polish_text(F.when(acc["text"] == "", line).otherwise(F.concat_ws(" ", acc["text"], line)))
-        full = F.length(more) >= max_chars
-        done = F.struct(F.concat(polish_text(F.rtrim(F.left(more, F.lit(max_chars)))), F.lit("...")).alias("text"), F.lit(True).alias("full"))
-        return F.when(acc["full"], acc).when(full, done).otherwise(F.struct(more.alias("text"), F.lit(False).alias("full")))
+        cut = lambda t: F.concat(polish_text(F.rtrim(F.left(t, F.lit(max_chars)))), F.lit("..."))
+        grown = once(more, lambda t: F.when(F.length(t) >= max_chars, F.struct(cut(t).alias("text"), F.lit(True).alias("full"))).otherwise(F.struct(t.alias("text"), F.lit(False).alias("full"))))
+        return F.when(acc["full"], acc).otherwise(grown)
 
     start = F.struct(F.lit("").alias("text"), F.lit(False).alias("full"))
-    return F.aggregate(single, start, step, lambda a: F.when(a["full"], a["text"]).otherwise(polish_text(a["text"])))
+    return F.aggregate(distinct_runs(kept), start, step, lambda a: F.when(a["full"], a["text"]).otherwise(polish_text(a["text"])))
 
 
 def preview_chunks(source_type: Column, pages: Column, paragraphs: Column, slides: Column, text: Column) -> Column:

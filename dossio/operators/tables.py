@@ -14,6 +14,7 @@ from dossio.config import Stitching
 from dossio.functions import cast as C
 from dossio.functions import geom as G
 from dossio.functions import text as T
+from dossio.functions.fold import changes, once
 from dossio.operators.text_blocks import PAGE
 
 #: Patterns that tell titles, hints, contents lines and references, and the limits by which tables are judged.
@@ -97,9 +98,7 @@ def column_mapping(physical: Column, logical: Column, patterns: Column, bbox: Co
     """For each physical column its logical one: by place in the parent's box, by run, or in proportion."""
     cols = F.sequence(F.lit(0), physical - 1)
     share = lambda p: F.least(F.floor((p + 0.5) / physical * logical), logical - 1).cast("int")
-    found = runs(patterns)
-
-    def by_run(p):
+    def by_run(found, p):
         near = F.array_min(F.flatten(F.transform(found, lambda run, k: F.transform(run, lambda c: F.struct(F.abs(p - c).alias("d"), k.alias("k"))))))
         return near["k"].cast("int")
 
@@ -113,7 +112,8 @@ def column_mapping(physical: Column, logical: Column, patterns: Column, bbox: Co
 
     placed = parent_bbox.isNotNull() & bbox.isNotNull()
     sound = placed & (G.width(bbox) > 0) & (G.width(parent_bbox) > 0)
-    return F.transform(cols, lambda p: F.when(sound, by_parent(p)).when(~F.coalesce(placed, F.lit(False)) & (F.size(found) == logical), by_run(p)).otherwise(share(p)))
+    unplaced = ~F.coalesce(placed, F.lit(False))
+    return once(runs(patterns), lambda found: F.transform(cols, lambda p: F.when(sound, by_parent(p)).when(unplaced & (F.size(found) == logical), by_run(found, p)).otherwise(share(p))))
 
 
 def column_clusters(mapping: Column, logical: Column, bbox: Column, physical: Column) -> Column:
@@ -175,7 +175,7 @@ def merge_cells(cells: Column) -> Column:
 def distinct_cells(cells: Column) -> Column:
     """Cells in order of (row, column), the first of each place."""
     ordered = F.transform(F.array_sort(F.transform(cells, lambda c, i: F.struct(c["logical_row"].alias("r"), c["col"].alias("c"), i.alias("i"), c.alias("x")))), lambda o: o["x"])
-    return F.filter(ordered, lambda c, i: (i == 0) | (F.get(ordered, i - 1)["logical_row"] != c["logical_row"]) | (F.get(ordered, i - 1)["col"] != c["col"]))
+    return changes(ordered, lambda a, b: (a["logical_row"] == b["logical_row"]) & (a["col"] == b["col"]))
 
 
 def empty_rows(grid: Column) -> Column:

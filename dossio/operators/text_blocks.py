@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from dossio.functions import geom as G
 from dossio.functions import text as T
+from dossio.functions.fold import once, replaced
 
 PAGE = ["doc_id", "page"]
 BLOCK = "struct<bbox:array<double>,text:string,font_size:double,source:string,indices:array<int>>"
@@ -120,8 +121,7 @@ def merge_fold(blocks: Column, page_width: Column) -> Column:
 
         return F.aggregate(F.filter(x["blocks"], lambda b: b["text"] != ""), F.array().cast(f"array<{KNOWN}>"), step)
 
-    # the tolerance is worked out once, not for every block
-    return F.element_at(F.transform(F.array(F.struct(blocks.alias("blocks"), tolerance.alias("tolerance"))), fold), 1)
+    return once(F.struct(blocks.alias("blocks"), tolerance.alias("tolerance")), fold)
 
 
 def _holds(a: Column, b: Column) -> Column:
@@ -133,19 +133,13 @@ def is_duplicate(a: Column, b: Column) -> Column:
     return (G.intersection_ratio(a["bbox"], b["bbox"]) >= 0.72) & _holds(T.compact_text(a["text"]), T.compact_text(b["text"]))
 
 
-def _replace_first(acc: Column, hit, new) -> Column:
-    """The array with ``new(element)`` in place of the first element that ``hit`` accepts."""
-    at = F.array_min(F.filter(F.transform(acc, lambda x, i: F.when(hit(x), i)), lambda i: i.isNotNull()))
-    return at, F.transform(acc, lambda x, i: F.when(i == at, new(x)).otherwise(x))
-
-
 def dedup_fold(blocks: Column) -> Column:
     """Blocks (KNOWN) without duplicates of an earlier one; the longer text takes the earlier one's place."""
 
     def step(acc, x):
         same = lambda k: (G.intersection_ratio(x["bbox"], k["bbox"]) >= 0.72) & _holds(x["compact"], k["compact"])
-        at, put = _replace_first(acc, same, lambda k: F.when(F.length(x["compact"]) > F.length(k["compact"]), x).otherwise(k))
-        return F.when(F.exists(acc, same), put).otherwise(F.concat(acc, F.array(x)))
+        longer = lambda k: F.when(F.length(x["compact"]) > F.length(k["compact"]), x).otherwise(k)
+        return F.coalesce(replaced(acc, same, longer), F.concat(acc, F.array(x)))
 
     order = F.array_sort(F.transform(blocks, lambda b, i: F.struct(b["bbox"][1].alias("y"), b["bbox"][0].alias("x"), i.alias("i"), b.alias("b"))))
     return F.aggregate(F.transform(order, lambda o: o["b"]), F.array().cast(f"array<{KNOWN}>"), step)
@@ -158,8 +152,7 @@ def near_duplicate_fold(blocks: Column) -> Column:
         same = lambda k: (k["compact"] == x["compact"]) & (G.vertical_overlap(k["bbox"], x["bbox"]) >= 0.6) & G.close(k["bbox"], x["bbox"])
         longer = lambda k: F.when(F.length(x["text"]) > F.length(k["text"]), x["text"]).otherwise(k["text"])
         take = lambda k: k.withField("bbox", G.rounded(G.compact_choice(k["bbox"], x["bbox"]))).withField("text", longer(k))
-        at, put = _replace_first(acc, same, take)
-        return F.when((x["compact"] != "") & F.exists(acc, same), put).otherwise(F.concat(acc, F.array(x)))
+        return F.coalesce(F.when(x["compact"] != "", replaced(acc, same, take)), F.concat(acc, F.array(x)))
 
     return F.aggregate(blocks, F.array().cast(f"array<{KNOWN}>"), step)
 

@@ -232,11 +232,10 @@ def header_footer_filter(spark, sf_dir):
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS line FROM documents)
-    SELECT doc_id, CAST(i AS INTEGER) AS i, line FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l) WHERE p IS NULL OR p <> line""")
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS i, line FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l) WHERE p IS NULL OR p <> line""")
 def consecutive_line_dedup(spark, sf_dir):
-    lines = F.split("text", "\n")
-    single = F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("line"), F.get(lines, i - 1).alias("p"))), lambda s: s["p"].isNull() | (s["p"] != s["line"]))
-    return read(spark, sf_dir, "documents").select("doc_id", F.explode(single).alias("s")).select("doc_id", "s.i", "s.line")
+    lines = T.distinct_runs(F.split("text", "\n"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(lines).alias("i", "line"))
 
 
 @query("""SELECT doc_id, round(1e-9 + CASE WHEN length(text) = 0 THEN 0.0 ELSE 0.45 * len(regexp_extract_all(text, '[^\\n]')) / length(text) + 0.55 * len(regexp_extract_all(text, '[\\p{L}\\p{N},.:;!?()\\[\\]{}+\\-/_，。；：、（）《》“”‘’！？]')) / length(text) END, 4) AS quality, length(text) = 0 AS is_mojibake FROM documents""")
