@@ -7,6 +7,8 @@ that row; only lookups between tables and blocks join, on (doc_id, page).
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -383,13 +385,20 @@ def identity_parents(tables: DataFrame, last: int = 10, least: float = 0.7) -> D
     return tables.join(best.select("doc_id", "table_id", F.col("p._id").alias("parent_id"), F.col("p._sig").alias("parent_signature")), ["doc_id", "table_id"], "left")
 
 
-def normalize(evidence: DataFrame) -> DataFrame:
-    """Evidence with parent context (parent_cols, parent_header, parent_bbox) to grids, headers, cells and scores."""
+def normalize(evidence: DataFrame, repair: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+    """Evidence with parent context (parent_cols, parent_header, parent_bbox) to grids, headers, cells and scores.
+
+    ``repair`` maps a grid and its number of columns to the repaired grid.
+    """
     c = F.col
     keep = c("near_top") & (G.strict_horizontal_overlap(c("bbox"), c("parent_bbox")) >= 0.3)
     e = evidence.withColumn("patterns", row_patterns(c("rows"))).withColumn("_pc", F.when(keep, c("parent_cols"))).withColumn("_pb", F.when(keep, c("parent_bbox")))
     e = e.withColumn("_n", column_count(c("patterns"), c("physical_cols"), c("_pc"))).withColumn("col_count", c("_n.n")).withColumn("strategy", c("_n.strategy"))
     e = e.withColumn("mapping", column_mapping(c("physical_cols"), c("col_count"), c("patterns"), c("bbox"), c("_pb"))).withColumn("grid", project_grid(c("rows"), c("mapping"), c("col_count")))
+    if repair is not None:
+        e = e.withColumn("grid", repair(c("grid"), c("col_count")))
+    # through a generator of one row: what follows reads the grid many times, and would else have it spelled out each time
+    e = e.withColumn("grid", F.explode(F.array("grid")))
     e = e.withColumn("is_continuation", is_continuation(c("near_top"), c("parent_header").isNotNull(), F.get("grid", F.lit(0)))).withColumn("_h", header_and_cells(c("grid"), c("is_continuation"), c("parent_header")))
     e = e.withColumn("header", c("_h.header")).withColumn("header_inherited", c("_h.inherited")).withColumn("cells", merge_cells(c("_h.cells"))).withColumn("row_count", F.size("grid")).withColumn("row_texts", T.row_texts(c("grid"))).withColumn("column_signature", G.column_signature(c("col_count")))
     n = counts(c("grid"), c("cells"))

@@ -479,3 +479,186 @@ def merged_cells(spark, sf_dir):
     held = order_lines(spark, sf_dir).groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.collect_list(cell).alias("cells"))
     made = held.select("doc_id", tables.merge_cells(F.col("cells")).alias("m"))
     return made.select("doc_id", F.size(tables.nested_regions(F.col("m"))).alias("spans"), F.posexplode("m").alias("k", "c")).select("doc_id", (F.col("k") + 1).alias("k"), "c.text", "c.rowspan", (F.col("c.rowspan") > 1).alias("nested"))
+
+
+# --- repairs
+
+
+@query("""WITH r AS (SELECT p_partkey, ['0001', 'x1234567', 'm3', 'cn', 'util', '12', 'plain'][p_partkey % 7 + 1] AS k, p_partkey % 7 AS kind, ['sequence of files', 'regional part', 'folder for it', 'chapter 1. of'][p_partkey % 4 + 1] AS said, p_partkey % 5 = 0 AS taken, p_partkey % 11 = 0 AS far FROM part)
+    SELECT p_partkey, CASE WHEN taken THEN 'old' WHEN far THEN NULL WHEN kind IN (1, 2) OR (kind = 0 AND contains(said, 'sequence')) OR (kind = 3 AND contains(said, 'region')) OR (kind = 4 AND contains(said, 'folder')) OR (kind = 5 AND contains(said, '1.')) THEN k END AS key FROM r""")
+def recovered_keys(spark, sf_dir):
+    """TBL-08 TBL-11 UDF-09 UDF-10: a key in the first column's band fills a null first cell whose row speaks of its kind."""
+    c, k = F.col, F.col("p_partkey")
+    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % len(xs) + 1).cast("int"))
+    none = F.lit(None).cast("string")
+    grid = F.array(F.array(F.lit("Key"), F.lit("Name")), F.array(F.when(k % 5 == 0, "old"), pick("sequence of files", "regional part", "folder for it", "chapter 1. of")))
+    box = lambda *v: G.box(*[F.lit(float(x)) for x in v])
+    rows = F.array(F.struct(box(0, 0, 100, 10).alias("bbox"), box(0, 0, 50, 10).alias("first_bbox")), F.struct(box(0, 10, 100, 20).alias("bbox"), F.lit(None).cast("array<double>").alias("first_bbox")))
+    token = F.array(F.struct(pick("0001", "x1234567", "m3", "cn", "util", "12", "plain").alias("text"), F.when(k % 11 == 0, 80.0).otherwise(20.0).alias("x"), F.lit(15.0).alias("y")))
+    got = repairs.recover_keys(grid, rows, token, box(0, 0, 100, 20), F.lit(2))
+    return read(spark, sf_dir, "part").select("p_partkey", F.coalesce(F.get(F.get(got, F.lit(1)), F.lit(0)), none).alias("key"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name || ' ' || p_brand ELSE 'is folder' END AS said, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE '05' END AS middle, 'dtd' AS head FROM part""")
+def described_listings(spark, sf_dir):
+    """TBL-12 UDF-11: a directory listing's row of a two-digit key gets its words right of the middle; a head of several lines hands them down."""
+    c, k = F.col, F.col("p_partkey")
+    none = F.lit(None).cast("string")
+    box = lambda *v: G.box(*[F.lit(float(x)) for x in v])
+    head = F.array(F.concat(F.lit("dtd\n"), c("p_type")), F.lit("00"), F.lit("first folder"))
+    middle = F.when(k % 2 == 0, none).otherwise("05")
+    gap = F.array(none, F.lit("01"), F.when(k % 3 == 0, none).otherwise("is folder"))
+    grid = F.concat(F.array(gap, head, F.array(none, middle, F.lit("a folder"))), F.array_repeat(F.array(none, F.lit("09"), F.lit("a folder")), 6))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(8)), lambda i: F.struct(F.array(F.lit(0.0), i * 10.0, F.lit(100.0), i * 10.0 + 10).alias("bbox")))
+    token = lambda t, x: F.struct(F.lit(float(x)).alias("x0"), F.lit(x + 8.0).alias("x1"), t.alias("text"), F.lit(x + 4.0).alias("x"), F.lit(5.0).alias("y"))
+    spans = F.array(token(F.lit("left"), 10), token(c("p_name"), 60), token(c("p_brand"), 80))
+    got = repairs.repair_listing(grid, rows, spans, F.filter(spans, lambda s: F.lit(False)), box(0, 0, 100, 90), F.lit(3), F.lit(5))
+    cell = lambda i, j: F.get(F.get(c("g"), F.lit(i)), F.lit(j))
+    return read(spark, sf_dir, "part").withColumn("g", got).select("p_partkey", cell(0, 2).alias("said"), cell(2, 1).alias("middle"), cell(1, 0).alias("head"))
+
+
+@query("""SELECT p_partkey, 'A ' || p_name AS a, CASE WHEN p_partkey % 2 = 0 THEN 'old' ELSE 'B' END AS b, CAST(CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END AS INTEGER) AS changed FROM part""")
+def supplemented_grids(spark, sf_dir):
+    """TBL-06 TBL-07 TBL-10: spans near each other, joined, fill the null cells at their place; neighbouring duplicates stay."""
+    c = F.col
+    box = G.box(*[F.lit(float(x)) for x in (0, 0, 100, 40)])
+    grid = F.array(F.array(F.lit(None).cast("string"), F.lit("same")), F.array(F.lit("same"), F.when(c("p_partkey") % 2 == 0, "old")))
+    span = lambda x0, y0, t: F.struct(F.lit(x0).alias("x0"), F.lit(y0).alias("y0"), F.lit(x0 + 8.0).alias("x1"), F.lit(y0 + 10.0).alias("y1"), F.lit(9.0).alias("size"), t.alias("text"))
+    cells = repairs.span_clusters(F.array(span(5.0, 5.0, F.lit("A")), span(14.0, 5.0, c("p_name")), span(70.0, 25.0, F.lit("B"))), box, F.lit(2))
+    made = read(spark, sf_dir, "part").withColumn("before", repairs.keep_duplicates(grid)).withColumn("after", repairs.supplement(F.col("before"), cells, box, box, F.lit(2)))
+    cell = lambda i, j: F.get(F.get(c("after"), F.lit(i)), F.lit(j))
+    return made.select("p_partkey", cell(0, 0).alias("a"), cell(1, 1).alias("b"), repairs.changed_cells(c("before"), c("after")).alias("changed"))
+
+
+@query("""SELECT p_partkey, 'us-' || p_partkey || '.xml' AS kept, 'us-' AS shadow, CAST(CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 0 END AS INTEGER) AS keys, CAST(2 AS INTEGER) AS names FROM part""")
+def rule_runs(spark, sf_dir):
+    """TBL-09 UDF-03 UDF-04 UDF-05 UDF-06 UDF-07 UDF-08 TBL-13 TBL-14: the default rules applied, and in a shadow run that reports only."""
+    c, k = F.col, F.col("p_partkey")
+    none = F.lit(None).cast("string")
+    box = lambda *v: G.box(*[F.lit(float(x)) for x in v])
+    grid = F.array(F.array(F.lit("us-"), none), F.array(F.concat(k.cast("string"), F.lit(".xml")), none), F.array(F.lit("a.pdf"), none), F.array(none, F.lit("sequence")))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(F.array(F.lit(0.0), i * 10.0, F.lit(100.0), i * 10.0 + 10).alias("bbox"), F.lit(None).cast("array<double>").alias("first_bbox")))
+    tokens = F.array(F.struct(F.when(k % 2 == 0, "0007").otherwise("word").alias("text"), F.lit(10.0).alias("x"), F.lit(35.0).alias("y")))
+    empty = F.array().cast("array<struct<x0:double,x1:double,text:string,x:double,y:double>>")
+    run = lambda shadow: repairs.run_rules(c("g"), repairs.default_rules(rows, empty, empty, tokens, box(0, 0, 100, 40), F.lit(2), F.lit(2)), shadow)
+    (kept, report), (shadow, _) = run(False), run(True)
+    made = read(spark, sf_dir, "part").withColumn("g", grid).select("p_partkey", kept.alias("kept"), report.alias("report"), shadow.alias("shadow"))
+    first = lambda g: F.get(F.get(g, F.lit(0)), F.lit(0))
+    return made.select("p_partkey", first(c("kept")).alias("kept"), first(c("shadow")).alias("shadow"), c("report")[0]["changed"].alias("keys"), c("report")[2]["changed"].alias("names"))
+
+
+@query("""WITH t AS (SELECT p_partkey, ['表 4 Doses', p_name || ' text', 'a b', 'c d', '2.1 Scope', ''] AS rows, p_partkey % 2 = 0 AS headed FROM part)
+    SELECT p_partkey, CASE WHEN headed THEN p_name || ' text|a b|c d' ELSE 'x y|' || p_name || ' text|a b|c d' END AS rows FROM t JOIN part USING (p_partkey)""")
+def pruned_rows(spark, sf_dir):
+    """FLT-24: captions above and section headings below a table's rows go."""
+    row = lambda t: F.struct(t.alias("text"), F.size(F.filter(F.split(t, " "), lambda x: x != "")).alias("n_words"), F.filter(F.split(t, " "), lambda x: x != "").alias("words"))
+    first = F.when(F.col("p_partkey") % 2 == 0, "表 4 Doses").otherwise("x y")
+    rows = F.array(*[row(t) for t in (first, F.concat(F.col("p_name"), F.lit(" text")), F.lit("a b"), F.lit("c d"), F.lit("2.1 Scope"), F.lit(""))])
+    return read(spark, sf_dir, "part").select("p_partkey", F.array_join(F.transform(words.prune_edges(rows), lambda r: r["text"]), "|").alias("rows"))
+
+
+# --- rules, jobs and reports
+
+
+@query("SELECT n_nationkey, ['regulation', 'guideline', 'internal'][n_nationkey % 4 + 1] AS source, 0.0::DOUBLE AS score, 'law' AS label, 'unknown' AS status, n_name AS summary, '' AS evidence FROM nation WHERE n_nationkey % 4 < 3")
+def retrieved(spark, sf_dir):
+    """FLT-38 FLT-39 FLT-40: placeholder hits of allowed sources, tagged, as responses with defaults."""
+    source = F.element_at(F.array(*[F.lit(x) for x in ("regulation", "guideline", "internal", "web")]), (F.col("n_nationkey") % 4 + 1).cast("int"))
+    hits = rules.tag_source(rules.retrieve(read(spark, sf_dir, "nation").select(F.concat_ws("|", "n_nationkey", "n_name").alias("query"), source.alias("source"))), "law")
+    named = hits.withColumns({"key": F.split("query", r"\|")[0].cast("int"), "summary": F.split("query", r"\|")[1]})
+    said = rules.format_response(named.select("summary", F.lit(None).cast("string").alias("status"))).select(F.col("summary").alias("said"), "status", "evidence")
+    return named.join(said, F.col("summary") == F.col("said")).select(F.col("key").alias("n_nationkey"), "source", "score", F.col("source_label").alias("label"), "status", "summary", "evidence")
+
+
+@query("""SELECT o_orderkey, row_number() OVER (ORDER BY coalesce(score, 0.0) DESC, o_orderkey) AS place, printf('PROP-%03d', row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey)) AS proposal FROM (SELECT *, CASE WHEN o_orderkey % 7 > 0 THEN (o_orderkey % 7) / 7.0::DOUBLE END AS score FROM orders)""")
+def ranked_findings(spark, sf_dir):
+    """SRT-01 UDF-15: by score, a missing one being 0, ties in their order; proposals numbered by document."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey", F.col("o_orderkey").alias("ordinal"), F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderkey") % 7 / 7.0).alias("score"))
+    place = F.row_number().over(Window.orderBy("_at")).cast("bigint")
+    return rules.rerank(rules.proposals(o, ["o_orderkey"])).withColumn("_at", F.monotonically_increasing_id()).select("o_orderkey", place.alias("place"), F.col("proposal_id").alias("proposal"))
+
+
+@query("""SELECT n_regionkey, count(*) FILTER (n_nationkey % 5 = 0) AS m1, count(*) FILTER (n_nationkey % 5 = 2) AS m3, string_agg(n_name, ',' ORDER BY n_name) AS files, 'cmc' AS agent, 'r1/s2/e3' AS versions FROM nation GROUP BY n_regionkey""")
+def module_manifests(spark, sf_dir):
+    """SRC-30 SRC-33 UDF-13 UDF-14 UDF-18: a map's module lists, a manifest of names, the stub agents and versions."""
+    n = read(spark, sf_dir, "nation")
+    named = n.groupBy("n_regionkey", F.concat(F.lit("module_"), (F.col("n_nationkey") % 5 + 1).cast("string")).alias("m")).agg(F.collect_list("n_name").alias("names"))
+    maps = named.groupBy("n_regionkey").agg(F.map_from_entries(F.collect_list(F.struct("m", "names"))).alias("index")).withColumn("b", rules.module_buckets(F.col("index")))
+    lists = None
+    for k in range(5):
+        one = rules.index_manifest(n.where(F.col("n_regionkey") == k).select(F.col("n_name").alias("name"))).withColumn("k", F.lit(k))
+        lists = one if lists is None else lists.unionByName(one)
+    v = rules.versions("r1", "s2", "e3")
+    both = rules.agent_results(maps).join(lists, F.col("n_regionkey") == F.col("k"))
+    return both.select("n_regionkey", F.size("b.module_1").cast("bigint").alias("m1"), F.size("b.module_3").cast("bigint").alias("m3"), "files", F.col("agents")[0]["agent"].alias("agent"), F.concat_ws("/", v["rules"], v["schema"], v["engine"]).alias("versions"))
+
+
+JOBS = "j AS (SELECT user_id AS job_id, count(*) AS total, count(*) FILTER (value > 20) AS ok, count(*) FILTER (value > 5) AS done FROM events GROUP BY user_id)"
+
+
+@query(f"WITH {JOBS} SELECT job_id, CASE WHEN done = 0 THEN 'queued' WHEN done < total THEN 'processing' WHEN ok = 0 THEN 'failed' WHEN ok < total THEN 'completed_with_warnings' ELSE 'completed' END AS status, CAST(CASE WHEN done = total THEN 100 ELSE 5 + floor(done / total::DOUBLE * 80) END AS INTEGER) AS progress FROM j WHERE done = total OR job_id = 7")
+def ready_jobs(spark, sf_dir):
+    """CTL-01 CTL-13 CTL-14 CTL-15 CTL-17: jobs whose results may be read, and one looked up."""
+    v = F.col("value")
+    all_jobs = jobs.job_status(read(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), F.when(v > 5, v > 20).alias("ok")))
+    return jobs.ready(all_jobs).unionByName(jobs.lookup(all_jobs, "7")).distinct().select("job_id", "status", "progress")
+
+
+@query(f"""WITH {PART_FACTS}, d AS (SELECT count(*) AS n, sum(length(text)) AS chars, sum(len(regexp_extract_all(text, '\\S+'))) AS tokens FROM documents), f AS (SELECT count(*) AS files FROM pages)
+    SELECT 1 AS ordinal, '| Estimated pages/slides | ' || CAST((SELECT sum(CASE WHEN doc_id % 3 = 0 THEN 2 WHEN lang = 'de' THEN 4 WHEN lang <> 'en' THEN 5 WHEN doc_id % 100 > 0 THEN greatest(1, round_even((doc_id % 100) / 24.0, 0)) ELSE 0 END) FROM documents)::BIGINT AS VARCHAR) || ' | Approximate payload scale |' AS line
+    UNION ALL SELECT 2, '| Extracted images | ' || n || ' | Image block coverage in source documents |' FROM d UNION ALL SELECT 3, '| Structured tables | ' || 2 * n || ' | Table AST extraction coverage |' FROM d
+    UNION ALL SELECT 4, '| Extracted text volume | ' || chars::BIGINT || ' chars / ' || tokens::BIGINT || ' tokens | Text capture throughput |' FROM d
+    UNION ALL SELECT 0, '| Parse success rate | ' || printf('%.1f', 100.0 * n / files) || '% (' || n || '/' || files || ') | Parser execution completeness |' FROM d, f""")
+def kpi_table(spark, sf_dir):
+    """SRC-41 SRC-42: the lines of the table of key figures."""
+    return jobs.kpi_lines(facts.key_figures(*_figure_inputs(spark, sf_dir))).where("ordinal < 5")
+
+
+@query("""SELECT p_partkey - 1 AS idx, '## ' || 'm' || (p_size % 5 + 1) || '-part.pdf' || ' (' || ['PDF', 'WORD', 'XML'][p_partkey % 3 + 1] || ')' || chr(10) || chr(10) || CASE WHEN p_size % 4 > 0 THEN '- Estimated pages: ' || p_size % 4 || chr(10) ELSE '' END || '- Parser strategy: ' || p_brand || chr(10) || chr(10) || '### Atomic Facts' || chr(10)
+    || '- **drug_name**: ' || p_name || chr(10) || '- **dosage_form**: ' || p_type || chr(10) || '- **batch_number**: ' || p_partkey || chr(10) || '- **manufacturing_site**: ' || p_brand || chr(10) || '- **strength**: ' || p_size
+    || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || chr(10) || '### PDF Pages' || chr(10) || '- Page 1: ' || p_size || ' text blocks' || chr(10) || '- Page 2: 3 text blocks' ELSE '' END
+    || chr(10) || chr(10) || '### Text Preview' || chr(10) || '```text' || chr(10) || 'Drug Name: ' || p_name || chr(10) || '剂型: ' || p_type || chr(10) || 'Batch No.: ' || p_partkey || chr(10) || 'Manufacturing Site: ' || p_brand || chr(10) || '规格: ' || p_size || chr(10) || '```' AS section FROM part""")
+def document_sections(spark, sf_dir):
+    """SRC-43 SRT-06 CTL-16: the full report's section of each document."""
+    p = part_documents(spark, sf_dir).join(read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand"), F.col("doc_id") == F.col("p_partkey"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("pdf", "word", "xml")]), (F.col("doc_id") % 3 + 1).cast("int"))
+    page = lambda n, k: F.struct(F.lit(n).alias("page_number"), k.alias("block_count"))
+    d = p.select((F.col("doc_id") - 1).alias("idx"), "filename", kind.alias("source_type"), (F.col("p_size") % 4).alias("page_count"), F.col("p_brand").alias("parser_hint"), F.array(page(1, F.col("p_size")), page(2, F.lit(3))).alias("pages"), "text")
+    return jobs.full_markdown(d)
+
+
+@query(f"""WITH {BOXES} SELECT doc_id, CAST(o AS BIGINT) AS o FROM b WHERE doc_id = 1 AND o <= 60""")
+def viewer_boxes(spark, sf_dir):
+    """FLT-42: the boxes that the viewer draws of one document's page (the limit of 60 is the feature)."""
+    b = line_boxes(spark, sf_dir).where("doc_id = 1")
+    return jobs.page_boxes(b, 1).select("doc_id", F.col("ordinal").cast("bigint").alias("o"))
+
+
+@query(f"""WITH {BOXES}, n AS (SELECT doc_id, string_agg(CASE flag WHEN 'R' THEN 'image:i' WHEN 'A' THEN 'table:t' ELSE 'text:b' END || o, ',' ORDER BY y0, x0, CASE flag WHEN 'R' THEN 'image' WHEN 'A' THEN 'table' ELSE 'text' END, o) AS nodes FROM b GROUP BY doc_id) SELECT * FROM n""")
+def document_trees(spark, sf_dir):
+    """SRT-03 SET-08: text, image and table nodes of a page in reading order."""
+    b = line_boxes(spark, sf_dir)
+    part = lambda flag, letter, ident: b.where(F.col("l_returnflag") == flag).select("doc_id", "page", "bbox", F.concat(F.lit(letter), F.col("ordinal").cast("string")).alias(ident))
+    made = jobs.document_nodes(part("N", "b", "block_id"), part("R", "i", "image_id"), part("A", "t", "table_id"))
+    return made.select("doc_id", F.array_join(F.transform("nodes", lambda n: F.concat_ws(":", n["kind"], n["id"])), ",").alias("nodes"))
+
+
+@query("""WITH p AS (SELECT p_size AS doc_id, p_partkey AS page, 'Drug Name: ' || p_name AS t FROM part), d AS (SELECT doc_id, string_agg(t, chr(10) ORDER BY page) AS text, arg_min(t, page) AS first FROM p GROUP BY doc_id) SELECT doc_id, text, replace(first, 'Drug Name: ', '') AS drug FROM d""")
+def texts_of_documents(spark, sf_dir):
+    """AGG-07 SRT-02 SRT-03: the pages' texts in order, and the facts in them."""
+    pages = read(spark, sf_dir, "part").select(F.col("p_size").alias("doc_id"), F.col("p_partkey").alias("page"), F.concat(F.lit("Drug Name: "), F.col("p_name")).alias("text"))
+    return jobs.document_texts(pages).select("doc_id", "text", F.element_at("facts", "drug_name").alias("drug"))
+
+
+@query("SELECT CAST(min(p_partkey) - 1 AS INTEGER) AS idx, '/api/v1/files/f' || min(p_partkey) AS file_url, false AS rule_checks_enabled FROM part WHERE p_partkey % 3 = 0")
+def workbench_view(spark, sf_dir):
+    """CTL-02: the first PDF of the upload."""
+    d = read(spark, sf_dir, "part").select((F.col("p_partkey") - 1).cast("int").alias("idx"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("file_id"), F.when(F.col("p_partkey") % 3 == 0, "pdf").otherwise("word").alias("source_type"))
+    return jobs.workbench(d).select("idx", "file_url", "rule_checks_enabled")
+
+
+@query("SELECT 'run1' AS run_id, 'job1' AS job_id, 'completed' AS status, 'parse: Parsed ' || (SELECT count(*) FROM documents) || ' document(s)' AS first, 3 AS n_events")
+def audit_events(spark, sf_dir):
+    """AGG-05."""
+    log = facts.audit_log(facts.key_figures(*_figure_inputs(spark, sf_dir)), "run1", "job1", "completed")
+    return log.select("run_id", "job_id", "status", F.concat_ws(": ", F.col("events")[0]["step"], F.col("events")[0]["message"]).alias("first"), F.size("events").alias("n_events"))

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from dossio.plans import operator_queries  # noqa: F401  (registers its queries)
+from dossio.plans import document_queries, operator_queries  # noqa: F401  (they register their queries)
 from dossio.plans import queries as core
 
 SF = "/root/testdata/sf0.001"
