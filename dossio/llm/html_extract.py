@@ -7,13 +7,14 @@ of the result.  A class or id alone never drops the article: see _settle.  For e
     density = C / T * ln(C * T / (LC * LT)) / ln(ln(C / (C - LC) * LC + LCb / Cb * C + e**e))
 
 with C characters and T tags below the node, LC characters and LT tags of links, b the body (each at least
-1 where it divides).  The node with the largest sum of its children's densities is the core.  The least
+1 where it divides).  Elements that only mark up words (neither links nor blocks, nor around any) are no tags and
+no nodes here: their text is their parent's, so a bold passage isn't denser than its paragraph.  The node with the largest sum of its children's densities is the core.  The least
 density on the path from the body to the core is the threshold: while a sibling of the subtree reaches it,
-the subtree grows to its parent.  Inside an article or main element, that element is the subtree.
+the subtree grows to its parent.
 
 Defined results: a null, empty or textless html gives the empty text; malformed markup is closed as
 browsers do for paragraphs, items and cells; repeated rows each get theirs; an empty table gives no rows;
-other columns are ignored.
+other columns are ignored.  Reading the markup takes time in proportion to it, however deep or broken.
 """
 
 from __future__ import annotations
@@ -44,32 +45,36 @@ OTHERS = frozenset("comment comments disqus related replies reply respond".split
 MODIFIERS = frozenset("has with no without".split())
 #: Elements that are no text even on a page that has nothing else.
 TEXTLESS = ASIDE - {"aside", "dialog"}
-SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
+SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
 #: A start tag of the first kind closes an open one of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 
+#: Elements that an open paragraph outside them isn't closed through, and that inline end tags don't reach through.
+P_SCOPE = ("td", "th", "li", "div", "article", "section", "blockquote", "table")
+BARRIERS = ("article", "body", "table", "td", "th")
+
 
 class Node:
-    __slots__ = ("tag", "up", "down", "aside", "named", "link", "chars", "tags", "link_chars", "link_tags", "density")
+    __slots__ = ("tag", "up", "down", "aside", "named", "link", "in_article", "in_body", "blocks", "chars", "tags", "link_chars", "link_tags", "density")
 
     def __init__(self, tag: str, up: Node | None, aside: bool, named: int, link: bool):
         self.tag, self.up, self.down, self.aside, self.named, self.link = tag, up, [], aside, named, link
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.in_article = tag in ("article", "main") or (up is not None and up.in_article)
+        self.in_body = tag == "body" or (up is not None and up.in_body)
+        self.blocks = self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = 0.0
 
-
-def _in_article(up: Node | None) -> bool:
-    while up is not None and up.tag not in ("article", "main"):
-        up = up.up
-    return up is not None
+    def is_tag(self) -> bool:
+        """Whether it is a block, a link, or stands around blocks."""
+        return self.tag in BLOCKS or self.tag == "a" or self.blocks > 0
 
 
 def _is_aside(tag: str, attrs: list, up: Node) -> bool:
     """By its element, role or hiding."""
     if tag in ASIDE:
         return True
-    if tag == "header" and not _in_article(up):
+    if tag == "header" and not up.in_article:
         return True
     return tag not in ("html", "body", "main") and any(k == "role" and v and v.lower() in ROLES or k == "hidden" or k == "aria-hidden" and v == "true" for k, v in attrs)
 
@@ -82,9 +87,9 @@ def _named(tag: str, attrs: list, up: Node) -> int:
     for k, v in attrs:
         if k in ("class", "id") and v:
             for part in v.split():
-                words = [w for w in SPLIT.split(part.lower()) if w]
+                words = [w.lower() for w in SPLIT.split(part) if w]
                 hit = NAMES.intersection(words)
-                if not hit or words[0] in MODIFIERS or (hit == {"header"} and _in_article(up)):
+                if not hit or words[0] in MODIFIERS or (hit == {"header"} and up.in_article):
                     continue
                 found = max(found, 9 if OTHERS & hit or len(hit) == len(set(words)) else 1)
     return found
@@ -144,50 +149,52 @@ def _settle(nodes: list[Node]) -> None:
 
 
 class Tree(HTMLParser):
+    """The nodes of a page.  ``path`` holds the open ones, ``depths`` for each tag the places of its open ones in the path."""
+
     def __init__(self, loose: bool = False):
         super().__init__(convert_charrefs=True)
         self.loose = loose
-        self.root = self.at = Node("#root", None, False, 0, False)
-        self.nodes = [self.root]
+        self.root = Node("#root", None, False, 0, False)
+        self.nodes, self.path, self.depths = [self.root], [self.root], {}
+
+    def _close(self, depth: int) -> None:
+        """Closes the open node at a depth, and those in it."""
+        while len(self.path) > depth:
+            self.depths[self.path.pop().tag].pop()
 
-    def _close(self, node: Node) -> None:
-        self.at = node.up or self.root
+    def _innermost(self, tags) -> int:
+        """The depth of the innermost open node of the tags; 0 where none is open."""
+        return max((d[-1] for t in tags if (d := self.depths.get(t))), default=0)
 
-    def _open(self, tags: set, stop: set) -> Node | None:
-        n = self.at
-        while n is not None and n.tag not in stop:
-            if n.tag in tags:
-                return n
-            n = n.up
-        return None
+    def _close_open(self, tags, scope) -> None:
+        """Closes the innermost open node of the tags, if it stands inside the innermost one of the scope."""
+        if (depth := self._innermost(tags)) > self._innermost(scope):
+            self._close(depth)
 
     def handle_starttag(self, tag, attrs):
-        if tag in BLOCKS and (p := self._open({"p"}, {"td", "th", "li", "div", "article", "section", "blockquote", "table"})):
-            self._close(p)
-        if tag in CLOSES and (n := self._open(CLOSES[tag], SCOPE[tag])):
-            self._close(n)
-        up = self.at
+        if tag in BLOCKS:
+            self._close_open(("p",), P_SCOPE)
+        if tag in CLOSES:
+            self._close_open(CLOSES[tag], SCOPE[tag])
+        up = self.path[-1]
         aside = tag in TEXTLESS if self.loose else _is_aside(tag, attrs, up)
         node = Node(tag, up, up.aside or aside, 0 if self.loose else _named(tag, attrs, up), up.link or tag == "a")
         up.down.append(node)
         self.nodes.append(node)
         if tag not in VOID:
-            self.at = node
+            self.depths.setdefault(tag, []).append(len(self.path))
+            self.path.append(node)
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)  # a slash doesn't close elements of HTML
 
     def handle_endtag(self, tag):
-        n = self.at
-        while n is not None and n.tag != tag:
-            if n.tag in ("article", "body", "table", "td", "th") and tag not in BLOCKS:
-                return  # a stray inline end tag closes nothing outside its block
-            n = n.up
-        if n is not None:
-            self._close(n)
+        depth = self._innermost((tag,))
+        if depth and (tag in BLOCKS or depth > self._innermost(BARRIERS)):  # a stray inline end tag closes nothing outside its block
+            self._close(depth)
 
     def handle_data(self, data):
-        self.at.down.append(data)
+        self.path[-1].down.append(data)
 
 
 def _weigh(nodes: list[Node]) -> Node:
@@ -200,52 +207,39 @@ def _weigh(nodes: list[Node]) -> Node:
         if n.up is not None:
             up = n.up
             up.chars += n.chars
-            up.tags += n.tags + 1
+            up.tags += n.tags + n.is_tag()
+            up.blocks += n.blocks + (n.tag in BLOCKS)
             up.link_chars += n.link_chars
-            up.link_tags += n.link_tags + (n.link or n.aside)
+            up.link_tags += n.link_tags + (n.is_tag() and (n.link or n.aside))
     body = next((n for n in nodes if n.tag == "body"), nodes[0])
     share = body.link_chars / max(1, body.chars)
     for n in nodes:
-        if n.chars and not n.aside:
+        if n.chars and not n.aside and n.is_tag():
             c, t, lc, lt = n.chars, max(1, n.tags), n.link_chars, max(1, n.link_tags)
             base = math.log(math.log(c / max(1, c - lc) * lc + share * c + math.e**math.e))
             n.density = c / t * max(0.0, math.log(c * t / (max(1, lc) * lt))) / base
     return body
 
 
-def _core(nodes: list[Node], body: Node) -> Node:
-    inside = [n for n in nodes if not n.aside]
+def _core(body: Node, nodes: list[Node]) -> Node:
+    """The subtree with the article: the node with the largest sum of its children's densities, grown by the threshold of its path."""
     best, most = body, -1.0
-    for n in inside:
+    for n in nodes:
+        if n.aside or not (n.in_body or body.up is None) or not (n.is_tag() or n is body):
+            continue
         total = sum(x.density for x in n.down if isinstance(x, Node))
         if total == 0.0 and n.chars > n.link_chars:
             total = n.density
-        if total > most and _under(n, body):
+        if total > most:
             best, most = n, total
-    path, n = [], best
+    threshold, n = body.density, best
     while n is not None and n is not body:
-        path.append(n)
-        n = n.up
-    for n in path:
-        if n.tag == "article":
-            return n
-    for n in path:
-        if n.tag == "main":
-            return n
-    threshold = min((n.density for n in [*path, body]), default=0.0)
+        threshold, n = min(threshold, n.density), n.up
     while best is not body and best.up is not None and any(isinstance(x, Node) and x is not best and not x.aside and x.density > 0 and x.density >= threshold for x in best.up.down):
         best = best.up
     return best
 
 
-def _under(n: Node | None, body: Node) -> bool:
-    while n is not None:
-        if n is body:
-            return True
-        n = n.up
-    return False
-
-
 def _text(top: Node) -> str:
     """The blocks of text below ``top``, in page order, one a line."""
     lines: list[str] = []
@@ -283,7 +277,7 @@ def main_text(html: str | None) -> str:
         tree.feed(html)
         tree.close()
         _settle(tree.nodes)
-        text = _text(_core(tree.nodes, _weigh(tree.nodes)))
+        text = _text(_core(_weigh(tree.nodes), tree.nodes))
         if text:
             break
     return text
