@@ -5,8 +5,10 @@ Words are maximal runs of letters a-z (A-Z lower-cased), digits and code points
 words into numbers by the benchmark's vocabulary, looks up a rolling hash of every window of known words,
 and verifies each hit word by word; a hit therefore never rests on a hash.
 
-The benchmark is cut into blocks of BLOCK_WORDS words, each indexed and broadcast on its own.  A
-benchmark of any size makes as many blocks as it needs; the driver and a worker hold one at a time.
+The benchmark is cut into blocks of BLOCK_WORDS words, each indexed in flat arrays (about 10 MB) and broadcast on
+its own.  A benchmark of any size makes as many blocks as it needs; the driver holds one at a time, a worker
+HELD_BLOCKS, and with more than those, texts are scanned CHUNK_BYTES at a time so that blocks load seldom.
+Broadcasts end with the last reference to them, as Spark's cleaner frees them then.
 
 Defined results: a null or empty text has no words and is clean; an item without words has no window;
 items that repeat an id count once; an item without an id hits words but isn't named; a document without
@@ -29,7 +31,9 @@ SIZE = 13
 #: A document is contaminated where RATIO times its hit words reach its words.
 RATIO = 20
 BLOCK_WORDS = 300_000
-CHUNK = 256
+HELD_BLOCKS = 16
+#: Texts scanned at once, in rows and bytes; beyond HELD_BLOCKS, in bytes alone.
+CHUNK, CHUNK_BYTES = 256, 16 << 20
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 #: Lower-cases A-Z and turns what isn't part of a word into a space; UTF-8 keeps other code points in bytes from 0x80.
 FOLD = bytes(c if c >= 128 or chr(c).isdigit() or "a" <= chr(c) <= "z" else c + 32 if "A" <= chr(c) <= "Z" else 32 for c in range(256))
@@ -40,24 +44,29 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Index:
-    """The windows of a block of items: for each length, sorted hashes, the windows' words, and the items that have them."""
+    """The windows of a block of items, in flat arrays: for each length, sorted hashes, where a window stands in the items' words, and its items."""
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], size: int):
         self.vocab: dict[bytes, int] = {}
-        windows: dict[int, dict[tuple, set]] = {}
-        for item, words in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words]
-            n = min(size, len(ids))
-            for k in range(len(ids) - n + 1 if n else 0):
-                windows.setdefault(n, {}).setdefault(tuple(ids[k : k + n]), set()).add(item)
+        self.names = [item for item, _ in items]
+        self.words = np.array([self.vocab.setdefault(w, len(self.vocab) + 1) for _, words in items for w in words], np.uint32)
+        windows: dict[int, dict[bytes, tuple[int, set]]] = {}
+        at = 0
+        for number, (_, words) in enumerate(items):
+            n = min(size, len(words))
+            for k in range(at, at + len(words) - n + 1 if n else at):
+                windows.setdefault(n, {}).setdefault(self.words[k : k + n].tobytes(), (k, set()))[1].add(number)
+            at += len(words)
         self.base = np.uint64(0x9E3779B97F4A7C15)
         self.by_length = {}
         for n, found in windows.items():
-            rows = np.array(list(found), dtype=np.uint32).reshape(-1, n)
-            names = [frozenset(i for i in v if i is not None) for v in found.values()]
-            keys = self.rolled(rows.T.astype(np.uint64))
+            starts = np.array([k for k, _ in found.values()], np.int64)
+            keys = self.rolled([self.words[starts + j].astype(np.uint64) for j in range(n)])
             order = np.argsort(keys, kind="stable")
-            self.by_length[n] = (keys[order], rows[order], [names[i] for i in order])
+            owners = [sorted(s) for _, s in found.values()]
+            held = [owners[i] for i in order]
+            edges = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+            self.by_length[n] = (keys[order], starts[order], edges, np.array([i for x in held for i in x], np.int32))
 
     def rolled(self, columns) -> np.ndarray:
         h = np.zeros(len(columns[0]), np.uint64)
@@ -66,10 +75,10 @@ class Index:
             h ^= h >> np.uint64(29)
         return h
 
-    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, frozenset]]:
+    def hits(self, ids: np.ndarray) -> Iterator[tuple[int, int, set]]:
         """(first word, words, items) of every window that occurs in ``ids``; 0 is an unknown word."""
         gaps = np.concatenate([[0], np.cumsum(ids == 0)])
-        for n, (keys, rows, names) in self.by_length.items():
+        for n, (keys, starts, edges, owners) in self.by_length.items():
             if len(ids) < n:
                 continue
             at = np.flatnonzero(gaps[n:] == gaps[:-n])
@@ -79,8 +88,8 @@ class Index:
             lo, hi = np.searchsorted(keys, h, "left"), np.searchsorted(keys, h, "right")
             for k in np.flatnonzero(hi > lo).tolist():
                 for i in range(lo[k], hi[k]):
-                    if np.array_equal(rows[i], ids[at[k] : at[k] + n]):
-                        yield int(at[k]), n, names[i]
+                    if np.array_equal(self.words[starts[i] : starts[i] + n], ids[at[k] : at[k] + n]):
+                        yield int(at[k]), n, {self.names[o] for o in owners[edges[i] : edges[i + 1]]} - {None}
 
 
 def index_blocks(benchmark: DataFrame, size: int = SIZE) -> list[Broadcast]:
@@ -121,7 +130,7 @@ def _found(texts: list[str | None], blocks: list[Broadcast]) -> list[tuple[int,
             hit[at] += 1
             hit[at + n] -= 1
             items[int(np.searchsorted(ends, at, "right"))] |= names
-        if len(blocks) > 1:
+        if len(blocks) > HELD_BLOCKS:
             b.__dict__.pop("_value", None)  # the next block takes its place
     inside = np.cumsum(hit) > 0
     return [(n, inside[e - n - 1 : e - 1], names) for n, e, names in zip(lengths, ends.tolist(), items, strict=True)]
@@ -133,9 +142,16 @@ def is_contaminated(n_words: int, n_hit: int, ratio: int = RATIO) -> bool:
 
 def _chunks(batches: Iterator[pa.RecordBatch], blocks: list[Broadcast]):
     for batch in batches:
-        for k in range(0, batch.num_rows, CHUNK):
-            part = batch.slice(k, CHUNK)
+        k = 0
+        while k < batch.num_rows:
+            if len(blocks) <= HELD_BLOCKS:
+                n = CHUNK
+            else:  # as many rows as have CHUNK_BYTES together, one at least
+                sizes = np.cumsum([v.as_buffer().size if v.is_valid else 0 for v in batch.column("text").slice(k)])
+                n = max(1, int(np.searchsorted(sizes, CHUNK_BYTES, "right")))
+            part = batch.slice(k, n)
             yield part, _found(part.column("text").to_pylist(), blocks)
+            k += n
 
 
 REPORT = "doc_id long, n_words long, n_hit long, n_items long, item_ids array<string>, items_sha256 string, contaminated boolean"

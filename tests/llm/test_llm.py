@@ -86,6 +86,8 @@ def brute_contamination(text, items):
 @pytest.mark.parametrize("block_words", [300_000, 7])
 def test_contamination_against_brute_force(spark, monkeypatch, block_words):
     monkeypatch.setattr(decontaminate, "BLOCK_WORDS", block_words)
+    monkeypatch.setattr(decontaminate, "HELD_BLOCKS", 2)
+    monkeypatch.setattr(decontaminate, "CHUNK_BYTES", 200)
     rnd = random.Random(1)
     vocab = ["a", "B", "é", "c1", "Dd"]
     text = lambda n: " ".join(rnd.choice(vocab) for _ in range(n))
