@@ -604,7 +604,7 @@ def ready_jobs(spark, sf_dir):
     return jobs.ready(all_jobs).unionByName(jobs.lookup(all_jobs, "7")).distinct().select("job_id", "status", "progress")
 
 
-@query(f"""WITH {PART_FACTS}, d AS (SELECT count(*) AS n, sum(length(text)) AS chars, sum(len(regexp_extract_all(text, '\\S+'))) AS tokens FROM documents), f AS (SELECT count(*) AS files FROM pages)
+@query(f"""WITH {PART_FACTS}, d AS (SELECT count(*) AS n, sum(length(text) + CASE WHEN doc_id % 4 = 0 THEN 31 ELSE 0 END) AS chars, sum(len(regexp_extract_all(text, '\\S+')) + CASE WHEN doc_id % 4 = 0 THEN 7 ELSE 0 END) AS tokens FROM documents), f AS (SELECT count(*) AS files FROM pages)
     SELECT 1 AS ordinal, '| Estimated pages/slides | ' || CAST((SELECT sum(CASE WHEN doc_id % 3 = 0 THEN 2 WHEN lang = 'de' THEN 4 WHEN lang <> 'en' THEN 5 WHEN doc_id % 100 > 0 THEN greatest(1, round_even((doc_id % 100) / 24.0, 0)) ELSE 0 END) FROM documents)::BIGINT AS VARCHAR) || ' | Approximate payload scale |' AS line
     UNION ALL SELECT 2, '| Extracted images | ' || n || ' | Image block coverage in source documents |' FROM d UNION ALL SELECT 3, '| Structured tables | ' || 2 * n || ' | Table AST extraction coverage |' FROM d
     UNION ALL SELECT 4, '| Extracted text volume | ' || chars::BIGINT || ' chars / ' || tokens::BIGINT || ' tokens | Text capture throughput |' FROM d
@@ -662,3 +662,71 @@ def audit_events(spark, sf_dir):
     """AGG-05."""
     log = facts.audit_log(facts.key_figures(*_figure_inputs(spark, sf_dir)), "run1", "job1", "completed")
     return log.select("run_id", "job_id", "status", F.concat_ws(": ", F.col("events")[0]["step"], F.col("events")[0]["message"]).alias("first"), F.size("events").alias("n_events"))
+
+
+@query(f"""WITH {SAMPLES}, s AS (SELECT *, p_size % 4 AS row FROM t) SELECT p_partkey, CASE WHEN row <= 1 THEN 'HEADER' WHEN regexp_full_match(trim(t), '[（(][A-Za-z0-9.\\-_/]{{2,28}}[)）]') THEN 'CONTINUATION' WHEN regexp_matches(lower(t), '^(?:合计|总计|小计|共计|平均|mean|total|sum)|[总共计]\\s*\\d+') THEN 'AGGREGATE'
+    WHEN regexp_matches(trim(t), '^(?:[*†‡§¶]|\\d+\\))') OR regexp_matches(lower(t), '^(?:注|说明|备注|note):') THEN 'ANNOTATION' ELSE 'DATA' END AS state, CASE WHEN row <= 1 THEN 0.9 WHEN regexp_full_match(trim(t), '[（(][A-Za-z0-9.\\-_/]{{2,28}}[)）]') THEN 0.8 WHEN regexp_matches(lower(t), '^(?:合计|总计|小计|共计|平均|mean|total|sum)|[总共计]\\s*\\d+') THEN 0.7
+    WHEN regexp_matches(trim(t), '^(?:[*†‡§¶]|\\d+\\))') OR regexp_matches(lower(t), '^(?:注|说明|备注|note):') THEN 0.6 ELSE 0.7 END AS confidence FROM s""")
+def cell_state_kinds(spark, sf_dir):
+    """TBL-17: every kind of cell."""
+    state = tables.cell_state(F.col("t"), F.col("p_size") % 4, F.lit(0))
+    return samples(spark, sf_dir).select("p_partkey", state["state"].alias("state"), r6(state["confidence"]).alias("confidence"))
+
+
+MOJIBAKE = (("药" * 10, True), ("药" * 10 + " a b c", False), ("药" * 9 + "12", False), ("药" * 420, True), ("药" * 290 + "x" * 130, True), ("药" * 270 + "x" * 150, False), ("药\n" * 400, False), ("", True), ("plain words", False), ("药药 药药 药药", False))
+
+
+@query(f"SELECT p_partkey, [{', '.join(str(m).lower() for _, m in MOJIBAKE)}][p_partkey % {len(MOJIBAKE)} + 1] AS mojibake FROM part")
+def mojibake_cases(spark, sf_dir):
+    """FLT-36 STR-28, against what each text must be taken for."""
+    text = F.element_at(F.array(*[F.lit(t) for t, _ in MOJIBAKE]), (F.col("p_partkey") % len(MOJIBAKE) + 1).cast("int"))
+    return read(spark, sf_dir, "part").select("p_partkey", T.is_mojibake(text).alias("mojibake"))
+
+
+@query("""SELECT p_partkey, '药品名称' || p_partkey || chr(10) || '说明书第' || p_size || '页' AS text, CAST(2 AS INTEGER) AS units, 'doc-plain-text' AS hint FROM part""")
+def plain_word_files(spark, sf_dir):
+    """SRC-21 SRC-22 SRC-23 SRC-24 SRC-25: legacy Word content that is plain text, in UTF-8 or UTF-16, decoded by the best quality."""
+    from dossio.sources import files
+
+    c = F.col
+    text = F.concat(F.lit("药品名称"), c("p_partkey").cast("string"), F.lit("\n说明书第"), c("p_size").cast("string"), F.lit("页"))
+    raw = F.when(c("p_size") % 4 == 1, F.encode(text, "UTF-16LE")).otherwise(F.encode(text, "UTF-8"))
+    got = files.documents(files.decode(read(spark, sf_dir, "part").select(c("p_partkey").cast("string").alias("path"), F.lit(".doc").alias("suffix"), raw.alias("content"))))
+    return got.select(c("path").cast("bigint").alias("p_partkey"), "text", c("n_units").alias("units"), c("parser_hint").alias("hint"))
+
+
+@query("""WITH n AS (SELECT n_nationkey, n_name, n_regionkey FROM nation), u AS (SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN [{'p': NULL, 't': n_name}, {'p': NULL, 't': 'Drug Name: ' || n_regionkey}] WHEN 1 THEN [{'p': NULL, 't': n_name || chr(10) || 'shape two'}, {'p': NULL, 't': 'second ' || n_regionkey}]
+    ELSE [{'p': '/r[0]', 't': ''}, {'p': '/r[0]/a[0]', 't': n_name}, {'p': '/r[0]/b[1]', 't': 'k ' || n_regionkey}] END AS us FROM n)
+    SELECT n_nationkey, CAST(i AS INTEGER) AS i, coalesce(us[i].p, '') AS pointer, us[i].t AS text, CASE n_nationkey % 3 WHEN 0 THEN 'word' WHEN 1 THEN 'presentation' ELSE 'xml' END AS kind, CASE WHEN n_nationkey % 3 = 0 THEN 7 ELSE 0 END AS pages FROM (SELECT *, unnest(range(1, len(us) + 1)) AS i FROM u)""")
+def office_files(spark, sf_dir):
+    """SRC-18 SRC-19 SRC-20 SRC-27 SRC-28 SRC-29 JOIN-15: Word, slide and XML files made from nations, and what they decode to."""
+    import io
+    import zipfile
+
+    from dossio.sources import files
+
+    def make(batches):
+        for b in batches:
+            rows = []
+            for key, name, region in zip(b["n_nationkey"], b["n_name"], b["n_regionkey"], strict=True):
+                held = io.BytesIO()
+                if key % 3 == 2:
+                    rows.append((str(key), ".xml", f"<r><a x='1'>{name}</a><b>k  {region}</b></r>".encode()))
+                    continue
+                with zipfile.ZipFile(held, "w") as z:
+                    if key % 3 == 0:
+                        body = "".join(f"<w:p><w:r><w:t>{t}</w:t></w:r></w:p>" for t in (name, "", f"Drug Name: {region}"))
+                        z.writestr("word/document.xml", f'<w:document xmlns:w="{files.W[1:-1]}"><w:body>{body}</w:body></w:document>')
+                        z.writestr("docProps/app.xml", "<Properties><Pages>7</Pages></Properties>")
+                    else:
+                        for k, shapes in enumerate(((name, "shape two"), (f"second {region}",)), 1):
+                            made = "".join(f"<p:sp><p:txBody><a:p><a:r><a:t>{t}</a:t></a:r></a:p></p:txBody></p:sp>" for t in shapes)
+                            z.writestr(f"ppt/slides/slide{k}.xml", f'<p:sld xmlns:p="http://schemas.openxmlformats.org/presentationml/2006/main" xmlns:a="{files.A[1:-1]}">{made}</p:sld>')
+                rows.append((str(key), ".docx" if key % 3 == 0 else ".pptx", held.getvalue()))
+            import pandas as pd
+
+            yield pd.DataFrame(rows, columns=["path", "suffix", "content"])
+
+    made = read(spark, sf_dir, "nation").mapInPandas(make, "path string, suffix string, content binary")
+    units = files.decode(made).select("path", "source_type", "page_count", F.posexplode("units").alias("i", "u"))
+    return units.select(F.col("path").cast("int").alias("n_nationkey"), (F.col("i") + 1).alias("i"), F.coalesce("u.pointer", F.lit("")).alias("pointer"), "u.text", F.col("source_type").alias("kind"), F.coalesce("page_count", F.lit(0)).alias("pages"))

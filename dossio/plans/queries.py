@@ -85,6 +85,15 @@ H_OVERLAP = "(greatest(0.0, least(a.x1, c.x1) - greatest(a.x0, c.x0)) / greatest
 V_OVERLAP = "(greatest(0.0, least(a.y1, c.y1) - greatest(a.y0, c.y0)) / greatest(1.0, least(a.y1 - a.y0, c.y1 - c.y0)))"
 
 
+def sql_shared(a: str, b: str) -> str:
+    """Shared area of two boxes over the smaller one, in SQL."""
+    return f"(greatest(0.0, least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0)) * greatest(0.0, least({a}.y1, {b}.y1) - greatest({a}.y0, {b}.y0)) / greatest(1.0, least(({a}.x1 - {a}.x0) * ({a}.y1 - {a}.y0), ({b}.x1 - {b}.x0) * ({b}.y1 - {b}.y0))))"
+
+
+def sql_along(a: str, b: str, lo: str = "y0", hi: str = "y1") -> str:
+    return f"(greatest(0.0, least({a}.{hi}, {b}.{hi}) - greatest({a}.{lo}, {b}.{lo})) / greatest(1.0, least({a}.{hi} - {a}.{lo}, {b}.{hi} - {b}.{lo})))"
+
+
 def document_lines(spark, sf_dir) -> DataFrame:
     """Lines of documents as blocks: doc_id is the source, page the document, 20 points a line."""
     d = read(spark, sf_dir, "documents")
@@ -149,17 +158,18 @@ def cross_module_mismatch(spark, sf_dir):
 
 
 def _figure_inputs(spark, sf_dir):
-    d = read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("int").alias("idx"), F.concat("source", F.lit(".docx")).alias("filename"), "text", F.when(F.col("lang") == "en", "word").when(F.col("lang") == "de", "pdf").otherwise("presentation").alias("source_type"), F.when(F.col("doc_id") % 3 == 0, 2).cast("int").alias("page_count"), F.lit(4).alias("n_pages"), F.lit(5).alias("n_slides"), (F.col("doc_id") % 100).cast("int").alias("n_paragraphs"), F.lit(1).alias("n_images"), F.lit(2).alias("n_tables"), F.col("lang").alias("parser_hint"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("int").alias("idx"), F.concat("source", F.lit(".docx")).alias("filename"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("Strength: 5 mg\nBatch No. ： B-7\n"), F.coalesce("text", F.lit("")))).otherwise(F.col("text")).alias("text"), F.when(F.col("lang") == "en", "word").when(F.col("lang") == "de", "pdf").otherwise("presentation").alias("source_type"), F.when(F.col("doc_id") % 3 == 0, 2).cast("int").alias("page_count"), F.lit(4).alias("n_pages"), F.lit(5).alias("n_slides"), (F.col("doc_id") % 100).cast("int").alias("n_paragraphs"), F.lit(1).alias("n_images"), F.lit(2).alias("n_tables"), F.col("lang").alias("parser_hint"))
     return d, read(spark, sf_dir, "pages"), facts.consistency(part_documents(spark, sf_dir))
 
 
 @query(f"""WITH {PART_FACTS}, last AS (SELECT module, x.f AS fact, arg_max(x.v, doc_id) AS value FROM facts GROUP BY ALL),
     k AS (SELECT count(*) AS total, count(*) FILTER (n <= 1) AS ok FROM (SELECT fact, count(DISTINCT value) AS n FROM last GROUP BY fact)),
-    d AS (SELECT count(*) AS n, sum(length(text)) AS chars, sum(len(regexp_extract_all(text, '\\S+'))) AS tokens, sum(CASE WHEN doc_id % 3 = 0 THEN 2 WHEN lang = 'de' THEN 4 WHEN lang <> 'en' THEN 5
-        WHEN doc_id % 100 > 0 THEN greatest(1, round_even((doc_id % 100) / 24.0, 0)) ELSE 0 END) AS pages FROM documents)
+    x AS (SELECT *, doc_id % 4 = 0 AS facts FROM documents), y AS (SELECT * REPLACE (CASE WHEN facts THEN 'Strength: 5 mg' || chr(10) || 'Batch No. ： B-7' || chr(10) || text ELSE text END AS text) FROM x),
+    d AS (SELECT count(*) AS n, count(*) FILTER (facts) AS with_facts, sum(length(text)) AS chars, sum(len(regexp_extract_all(text, '\\S+'))) AS tokens, sum(CASE WHEN doc_id % 3 = 0 THEN 2 WHEN lang = 'de' THEN 4 WHEN lang <> 'en' THEN 5
+        WHEN doc_id % 100 > 0 THEN greatest(1, round_even((doc_id % 100) / 24.0, 0)) ELSE 0 END) AS pages FROM y)
     SELECT CAST(d.n AS BIGINT) AS parsed_count, CAST(chars AS BIGINT) AS total_characters, CAST(tokens AS BIGINT) AS total_tokens, CAST(d.n AS BIGINT) AS total_images, CAST(2 * d.n AS BIGINT) AS total_tables, CAST(pages AS BIGINT) AS estimated_pages,
-        CAST(0 AS BIGINT) AS captured_facts, CAST(total AS BIGINT) AS consistency_total, CAST(ok AS BIGINT) AS consistency_passed, (SELECT count(*) FROM pages) AS total_files,
-        round(100.0 * d.n / (SELECT count(*) FROM pages), 6) AS parse_success_rate, round(100.0 * ok / total, 6) AS consistency_rate, round(least(100.0, 40.0 * chars / (d.n * 5000) + 25.0 * ok / total), 6) AS quality_score FROM d, k""")
+        CAST(2 * with_facts AS BIGINT) AS captured_facts, CAST(total AS BIGINT) AS consistency_total, CAST(ok AS BIGINT) AS consistency_passed, (SELECT count(*) FROM pages) AS total_files,
+        round(100.0 * d.n / (SELECT count(*) FROM pages), 6) AS parse_success_rate, round(100.0 * ok / total, 6) AS consistency_rate, round(least(100.0, 40.0 * chars / (d.n * 5000) + 35.0 * 2 * with_facts / (5 * d.n) + 25.0 * ok / total), 6) AS quality_score FROM d, k""")
 def key_figures(spark, sf_dir):
     got = facts.key_figures(*_figure_inputs(spark, sf_dir))
     whole = ["parsed_count", "total_characters", "total_tokens", "total_images", "total_tables", "estimated_pages", "captured_facts", "consistency_total", "consistency_passed", "total_files"]
@@ -316,7 +326,23 @@ def figure_titles(spark, sf_dir):
     return images.figure_titles(img.select("doc_id", "page", "ordinal", "image_id", "bbox"), text, pages).select("doc_id", F.col("ordinal").cast("bigint").alias("ordinal"), "figure_ref", "title")
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES}, w AS (SELECT b.doc_id, x0, y0, x1, y1, p_name AS t, regexp_replace(lower(p_name), '[^\\p{{L}}\\p{{N}}_]+', '', 'g') AS c, row_number() OVER (PARTITION BY b.doc_id ORDER BY y0, x0, o) AS i, count(*) OVER (PARTITION BY b.doc_id) AS n FROM b JOIN part ON p_partkey = l_partkey),
+    tol AS (SELECT doc_id, greatest(2.5, median(greatest(1.0, y1 - y0)) * 0.45) AS tol FROM w GROUP BY doc_id),
+    m AS (SELECT doc_id, i, n, 0 AS k, {{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 't': t, 'c': c}} AS a FROM w WHERE i = 1
+        UNION ALL SELECT m.doc_id, w.i, m.n, CASE WHEN g.joins THEN m.k ELSE m.k + 1 END, CASE WHEN g.joins THEN {{'x0': least(m.a.x0, w.x0), 'y0': least(m.a.y0, w.y0), 'x1': greatest(m.a.x1, w.x1), 'y1': greatest(m.a.y1, w.y1), 't': m.a.t || ' ' || w.t, 'c': m.a.c || w.c}} ELSE {{'x0': w.x0, 'y0': w.y0, 'x1': w.x1, 'y1': w.y1, 't': w.t, 'c': w.c}} END
+        FROM m JOIN w ON w.doc_id = m.doc_id AND w.i = m.i + 1 JOIN tol ON tol.doc_id = w.doc_id, LATERAL (SELECT length(m.a.t) <= 64 AND length(w.t) <= 64 AND (abs((m.a.y0 + m.a.y1 - w.y0 - w.y1) / 2) <= tol OR {sql_along('m.a', 'w')} >= 0.6)
+            AND (w.x0 - m.a.x1 >= -2.5 OR ({sql_along('m.a', 'w')} >= 0.6 AND {sql_along('m.a', 'w', 'x0', 'x1')} >= 0.18)) AND w.x0 - m.a.x1 <= greatest(27.0, least(greatest(1.0, m.a.y1 - m.a.y0), greatest(1.0, w.y1 - w.y0)) * 2.4) AS joins) g),
+    one AS (SELECT doc_id, n, arg_max(a, i) AS a, row_number() OVER (PARTITION BY doc_id ORDER BY arg_max(a, i).y0, arg_max(a, i).x0, k) AS i, count(*) OVER (PARTITION BY doc_id) AS blocks FROM m GROUP BY doc_id, n, k),
+    d AS (SELECT doc_id, i, [a] AS kept FROM one WHERE i = 1
+        UNION ALL SELECT d.doc_id, one.i, CASE WHEN h.slot IS NULL THEN list_append(d.kept, one.a) ELSE list_transform(d.kept, lambda q, j: CASE WHEN j = h.slot AND length(one.a.c) > length(q.c) THEN one.a ELSE q END) END
+        FROM d JOIN one ON one.doc_id = d.doc_id AND one.i = d.i + 1, LATERAL (SELECT list_min(list_filter(list_transform(d.kept, lambda q, j: CASE WHEN {sql_shared('one.a', 'q')} >= 0.72 AND (contains(q.c, one.a.c) OR contains(one.a.c, q.c)) THEN j END), lambda z: z IS NOT NULL)) AS slot) h),
+    e AS (SELECT d.doc_id, unnest(kept) AS a, unnest(range(1, len(kept) + 1)) AS i FROM d JOIN one ON one.doc_id = d.doc_id AND one.i = d.i WHERE d.i = blocks),
+    z AS (SELECT doc_id, i, [a] AS kept FROM e WHERE i = 1
+        UNION ALL SELECT z.doc_id, e.i, CASE WHEN h.slot IS NULL THEN list_append(z.kept, e.a) ELSE list_transform(z.kept, lambda q, j: CASE WHEN j = h.slot THEN
+            {{'x0': CASE WHEN e.a.y1 - e.a.y0 < (q.y1 - q.y0) * 0.85 THEN e.a.x0 ELSE q.x0 END, 'y0': CASE WHEN e.a.y1 - e.a.y0 < (q.y1 - q.y0) * 0.85 THEN e.a.y0 ELSE q.y0 END, 'x1': CASE WHEN e.a.y1 - e.a.y0 < (q.y1 - q.y0) * 0.85 THEN e.a.x1 ELSE q.x1 END, 'y1': CASE WHEN e.a.y1 - e.a.y0 < (q.y1 - q.y0) * 0.85 THEN e.a.y1 ELSE q.y1 END, 't': CASE WHEN length(e.a.t) > length(q.t) THEN e.a.t ELSE q.t END, 'c': q.c}} ELSE q END) END
+        FROM z JOIN e ON e.doc_id = z.doc_id AND e.i = z.i + 1, LATERAL (SELECT list_min(list_filter(list_transform(z.kept, lambda q, j: CASE WHEN q.c = e.a.c AND {sql_along('q', 'e.a')} >= 0.6 THEN j END), lambda v: v IS NOT NULL)) AS slot) h),
+    last AS (SELECT doc_id, max(i) AS i FROM e GROUP BY doc_id), size AS (SELECT DISTINCT doc_id, n FROM w)
+    SELECT doc_id, 1 AS page, printf('txt_p1_%03d', k) AS block_id, q.t AS text, CAST(n - m AS INTEGER) AS n_merged FROM (SELECT z.doc_id, unnest(kept) AS q, unnest(range(1, len(kept) + 1)) AS k, len(kept) AS m FROM z JOIN last USING (doc_id, i)) JOIN size USING (doc_id)""")
 def merged_text_blocks(spark, sf_dir):
     b = line_boxes(spark, sf_dir).join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("text")), "l_partkey")
     pages = b.select("doc_id", "page", F.lit(600.0).alias("width")).distinct()
@@ -324,7 +350,12 @@ def merged_text_blocks(spark, sf_dir):
     return made.select("doc_id", "page", "block_id", "text", "n_merged")
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES}, i AS (SELECT doc_id, x0, y0, x1, y1, row_number() OVER (PARTITION BY doc_id ORDER BY (x1 - x0) * (y1 - y0) DESC, o DESC) AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM b),
+    f AS (SELECT doc_id, k, n, [{{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}}] AS kept FROM i WHERE k = 1
+        UNION ALL SELECT f.doc_id, i.k, f.n, CASE WHEN len(list_filter(f.kept, lambda q: {sql_shared('q', 'i')} >= 0.9 AND greatest(1.0, (q.x1 - q.x0) * (q.y1 - q.y0), (i.x1 - i.x0) * (i.y1 - i.y0)) / greatest(1.0, least((q.x1 - q.x0) * (q.y1 - q.y0), (i.x1 - i.x0) * (i.y1 - i.y0))) <= 1.4
+            AND abs(q.x0 + q.x1 - i.x0 - i.x1) / 2 + abs(q.y0 + q.y1 - i.y0 - i.y1) / 2 <= 12)) > 0 THEN f.kept ELSE list_append(f.kept, {{'x0': i.x0, 'y0': i.y0, 'x1': i.x1, 'y1': i.y1}}) END FROM f JOIN i ON i.doc_id = f.doc_id AND i.k = f.k + 1),
+    l AS (SELECT doc_id, unnest(kept) AS q, unnest(range(0, len(kept))) AS j, n - len(kept) AS gone FROM f WHERE k = n)
+    SELECT doc_id, printf('img_p1_%03d', row_number() OVER (PARTITION BY doc_id ORDER BY q.y0, q.x0, j)) AS image_id, CAST(gone AS INTEGER) AS n_removed FROM l""")
 def deduplicated_images(spark, sf_dir):
     b = line_boxes(spark, sf_dir).withColumn("image_id", F.format_string("img_p1_%03d", "ordinal"))
     return images.dedup_images(b.select("doc_id", "page", "image_id", "bbox")).select("doc_id", "image_id", "n_removed")
@@ -460,7 +491,11 @@ def drawing_grid_score(spark, sf_dir):
     return b.groupBy("doc_id").agg(hs.alias("h"), xs.alias("v")).select("doc_id", r6(tables.grid_score(F.col("h"), F.col("v"), F.lit(1.0))).alias("score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TABLES}, o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, table_id) AS i FROM t),
+    f AS (SELECT doc_id, page, i, table_id, 1 AS k, x0, y0, x1, y1, 1 AS rows, n FROM o WHERE i = 1
+        UNION ALL SELECT o.doc_id, o.page, o.i, o.table_id, CASE WHEN g.joins THEN f.k ELSE f.k + 1 END, CASE WHEN g.joins THEN least(f.x0, o.x0) ELSE o.x0 END, CASE WHEN g.joins THEN f.y0 ELSE o.y0 END, CASE WHEN g.joins THEN greatest(f.x1, o.x1) ELSE o.x1 END, CASE WHEN g.joins THEN greatest(f.y1, o.y1) ELSE o.y1 END, CASE WHEN g.joins THEN f.rows + 1 ELSE 1 END, CASE WHEN g.joins THEN f.n ELSE o.n END
+        FROM f JOIN o ON o.doc_id = f.doc_id AND o.page = f.page AND o.i = f.i + 1, LATERAL (SELECT (o.y0 - f.y1) / ((f.y1 - f.y0) / f.rows) BETWEEN -0.1 AND 0.35 AND greatest(0.0, least(f.x1, o.x1) - greatest(f.x0, o.x0)) / least(f.x1 - f.x0, o.x1 - o.x0) >= 0.5 AND {SIMILARITY.format(SIGNATURE.format('f.n'), SIGNATURE.format('o.n'))} >= 0.68 AS joins) g)
+    SELECT doc_id, page, table_id, CAST(rows AS INTEGER) AS row_count, CAST(sum(rows - 1) OVER (PARTITION BY doc_id, page) AS INTEGER) AS n_merged, coalesce(merged, '') AS merged_from FROM (SELECT doc_id, page, k, arg_min(table_id, i) AS table_id, count(*) AS rows, string_agg(CASE WHEN i > low THEN table_id END, ',' ORDER BY i) AS merged FROM (SELECT *, min(i) OVER (PARTITION BY doc_id, page, k) AS low FROM f) GROUP BY doc_id, page, k)""")
 def merged_fragments(spark, sf_dir):
     t = order_tables(spark, sf_dir)
     grid = F.array(F.array(F.lit("a"), F.lit("b")))
@@ -516,7 +551,7 @@ def _is_folder(spark, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-@query("SELECT doc_id, line FROM (SELECT doc_id, '| ' || source || '.docx | ' || CASE WHEN lang = 'en' THEN 'WORD' WHEN lang = 'de' THEN 'PDF' ELSE 'PRESENTATION' END || ' | ' || CAST(CASE WHEN doc_id % 3 = 0 THEN 2 WHEN lang = 'de' THEN 4 WHEN lang <> 'en' THEN 5 WHEN doc_id % 100 > 0 THEN greatest(1, CAST(round_even((doc_id % 100) / 24.0, 0) AS INTEGER)) ELSE 0 END AS VARCHAR) || ' | 1 | 2 | ' || length(text) || ' | ' || lang || ' |' AS line FROM documents)")
+@query("SELECT doc_id, line FROM (SELECT doc_id, '| ' || source || '.docx | ' || CASE WHEN lang = 'en' THEN 'WORD' WHEN lang = 'de' THEN 'PDF' ELSE 'PRESENTATION' END || ' | ' || CAST(CASE WHEN doc_id % 3 = 0 THEN 2 WHEN lang = 'de' THEN 4 WHEN lang <> 'en' THEN 5 WHEN doc_id % 100 > 0 THEN greatest(1, CAST(round_even((doc_id % 100) / 24.0, 0) AS INTEGER)) ELSE 0 END AS VARCHAR) || ' | 1 | 2 | ' || length(text) + CASE WHEN doc_id % 4 = 0 THEN 31 ELSE 0 END || ' | ' || lang || ' |' AS line FROM documents)")
 def inventory_markdown(spark, sf_dir):
     d = _figure_inputs(spark, sf_dir)[0]
     return jobs.inventory_lines(d).select(F.col("idx").cast("bigint").alias("doc_id"), "line")
@@ -534,7 +569,16 @@ def two_column_pages(spark, sf_dir):
     return words.two_column_pages(w, w.select("doc_id", "page", F.lit(100.0).alias("width")).distinct())
 
 
-@query()
+@query(f"""WITH {SQL_LINES}, {TABLES}, r AS (SELECT l_orderkey, no, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS a, concat_ws(' ', nullif(l_returnflag, 'N'), l_linestatus) AS b, strftime(l_shipdate, '%Y-%m-%d') AS c FROM ln),
+    g AS (SELECT l_orderkey AS o_orderkey, count(*) AS n, string_agg(a || ' | ' || b || ' | ' || c, chr(10) ORDER BY no) AS text FROM r GROUP BY 1),
+    e AS (SELECT t.* EXCLUDE (n), g.n, text, y0 <= 224 AS top, y1 >= 576 AS bottom, o_orderkey % 2 = 0 AS titled FROM t JOIN g USING (o_orderkey) WHERE g.n >= 2),
+    ti AS (SELECT doc_id, page, o_orderkey AS o, x0, y0 - 20 AS y0, x1, y0 - 8 AS y1, 'Table ' || o_orderkey || ' lines' AS t FROM t JOIN g USING (o_orderkey) WHERE o_orderkey % 2 = 0),
+    ctx AS (SELECT e.table_id, arg_min(ti.t, ti.o) FILTER (e.y0 - ti.y1 BETWEEN -8 AND 160 AND greatest(0.0, least(e.x1, ti.x1) - greatest(e.x0, ti.x0)) / 400.0 >= 0.12) AS title, least(1.0, count(*) FILTER (ti.x0 BETWEEN e.x0 AND e.x1 AND ti.y0 BETWEEN e.y0 AND e.y1) / 8.0) AS lines FROM e JOIN ti USING (doc_id, page) GROUP BY 1),
+    par AS (SELECT e.table_id, count(*) > 0 AS parent FROM e JOIN e p ON p.doc_id = e.doc_id AND p.page + 1 = e.page AND p.bottom AND p.o_orderkey BETWEEN e.o_orderkey - 10 AND e.o_orderkey - 1 GROUP BY 1),
+    k AS (SELECT e.*, title, coalesce(lines, 0.0) AS lines, coalesce(parent, false) AS parent, least(1.0, 0.4 * (n - 1) / n + 0.35 + 0.25 * 2 / 3) AS score FROM e LEFT JOIN ctx USING (table_id) LEFT JOIN par USING (table_id)),
+    i AS (SELECT *, CASE WHEN n <= 3 THEN 'FRAGMENT' ELSE 'NEW_TABLE' END AS identity, CASE WHEN n <= 3 THEN 0.6 ELSE 0.8 END AS idc FROM k),
+    v AS (SELECT *, CASE WHEN title IS NOT NULL THEN score >= 0.25 WHEN lines >= 0.45 THEN n >= 4 AND score >= 0.56 ELSE (n >= 5 AND score >= 0.85) OR (n >= 6 AND score >= 0.85) OR (n >= 4 AND score >= 0.7) END AS ok FROM i)
+    SELECT doc_id, table_id, 3 AS col_count, CAST(n AS INTEGER) AS row_count, identity, round((idc + score + 1.0) / 3, 6) AS confidence, 0 AS n_flags, false AS review_required, text FROM v WHERE ok""")
 def judged_tables(spark, sf_dir):
     """Order lines as ruled evidence, normalized, put in context and judged; the accepted tables."""
     line = order_lines(spark, sf_dir)
@@ -551,7 +595,13 @@ def judged_tables(spark, sf_dir):
     return judged.select("doc_id", "table_id", "col_count", "row_count", "identity", r6(F.col("confidence")).alias("confidence"), F.size("risk_flags").alias("n_flags"), "review_required", F.array_join("row_texts", "\n").alias("text"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BOXES}, w AS (SELECT b.*, p_name AS t, regexp_replace(lower(p_name), '[^\\p{{L}}\\p{{N}}_]+', '', 'g') AS c FROM b JOIN part ON p_partkey = l_partkey),
+    x AS (SELECT doc_id, list({{'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'c': c}} ORDER BY o) AS texts FROM w WHERE flag <> 'R' GROUP BY doc_id), i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS k, count(*) OVER (PARTITION BY doc_id) AS total FROM w WHERE flag = 'R'),
+    f AS (SELECT DISTINCT i.doc_id, 0 AS k, coalesce(texts, []) AS texts, CAST([] AS VARCHAR[]) AS kept, 0 AS n FROM i LEFT JOIN x USING (doc_id)
+        UNION ALL SELECT f.doc_id, i.k, CASE WHEN NOT g.there AND g.turns THEN list_append(f.texts, {{'x0': i.x0, 'y0': i.y0, 'x1': i.x1, 'y1': i.y1, 'c': i.c}}) ELSE f.texts END, CASE WHEN g.there OR g.turns THEN f.kept ELSE list_append(f.kept, printf('img_p1_%03d', i.o)) END, f.n + CASE WHEN g.there OR g.turns THEN 1 ELSE 0 END
+        FROM f JOIN i ON i.doc_id = f.doc_id AND i.k = f.k + 1, LATERAL (SELECT length(i.t) >= 2 AND NOT regexp_matches(i.c, 'figure|fig|图|表|chart|illustration') AND len(list_filter(f.texts, lambda q: {sql_shared('q', 'i')} >= 0.55 AND q.c <> '' AND i.c <> '' AND (contains(q.c, i.c) OR contains(i.c, q.c)))) > 0 AS there,
+            length(i.t) >= 2 AND NOT regexp_matches(i.c, 'figure|fig|图|表|chart|illustration') AND (i.x1 - i.x0) * (i.y1 - i.y0) / 480000.0 <= 0.24 AS turns) g)
+    SELECT f.doc_id, 1 AS page, array_to_string(kept, ',') AS kept, CAST(len(texts) AS INTEGER) AS n_texts, n FROM f JOIN i ON i.doc_id = f.doc_id AND i.k = f.k WHERE f.k = total""")
 def demoted_images(spark, sf_dir):
     """Boxes of returned lines as images with recovered text; those that are text become blocks."""
     b = line_boxes(spark, sf_dir).join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("text")), "l_partkey")
