@@ -12,18 +12,24 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
 
 
+def _with_low(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """``edges`` with their u's m.  Joined by a hash beside u, so both sides are dealt anew and the centre of a large star can be split."""
+    named = low.select(F.col("u").alias("low_u"), "m")
+    return edges.join(named, (F.xxhash64("u") == F.xxhash64("low_u")) & (F.col("u") == F.col("low_u"))).drop("low_u")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     """Hangs every larger neighbour of a node on the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return _with_low(both, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Hangs a node and its smaller neighbours on the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     low = down.groupBy("u").agg(F.min("v").alias("m"))
-    hung = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    hung = _with_low(down, low).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return hung.unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
