@@ -44,21 +44,31 @@ def _hashed(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(2), "line")})
 
 
-def _frames(line):
-    """array<struct<key,mid>>: each way to leave a segment out, for segments sized by the line's length and by one less.
+def _framed(lines: DataFrame) -> DataFrame:
+    """``lines`` (line, ...) with a row for each way to leave a segment out: key, which hashes the rest, and ``way``.
 
-    With segments of u characters, the beginning has k * u, the end (SEGMENTS - 1 - k) * u, and the middle the rest.
+    Segments are sized by the line's length and, where that gives another size, by one less.  With segments of u
+    characters, way k leaves out what stands between the first k * u and the last (SEGMENTS - 1 - k) * u.  Each
+    segment is hashed once, counted from the beginning and from the end; a key hashes those hashes.
     """
-    n = F.length(line)
-    own, less = (n / SEGMENTS).cast("int"), ((n - 1) / SEGMENTS).cast("int")
-
-    def frame(u, k):
-        p, q = u * k, u * (SEGMENTS - 1 - k)
-        key = F.xxhash64(F.lit(k), u, F.left(line, p), F.right(line, q))
-        return F.struct(key.alias("key"), F.substring(line, p + 1, n - p - q).alias("mid"))
-
-    every = lambda u: F.array(*[frame(u, k) for k in range(SEGMENTS)])
-    return F.when(own == less, every(own)).otherwise(F.concat(every(own), every(less)))
+    n = F.length("line")
+    sized = lines.withColumn("n", n).withColumn("u", (F.col("n") / SEGMENTS).cast("int"))
+    again = F.col("n") % SEGMENTS == 0  # one character less makes smaller segments
+    hashes, keys = {}, []
+    for less in (0, 1):
+        u = F.col("u") - less
+        for i in range(SEGMENTS - 1):
+            head, tail = F.xxhash64(F.substring("line", u * i + 1, u)), F.xxhash64(F.substring("line", F.col("n") - u * (i + 1) + 1, u))
+            hashes[f"head{less}{i}"], hashes[f"tail{less}{i}"] = (head, tail) if not less else (F.when(again, head), F.when(again, tail))
+        keys.append(F.array(*[F.xxhash64(F.lit(k), u, *[F.col(f"head{less}{i}") for i in range(k)], *[F.col(f"tail{less}{i}") for i in range(SEGMENTS - 1 - k)]) for k in range(SEGMENTS)]))
+    every = F.when(again, F.concat(*keys)).otherwise(keys[0])
+    return sized.withColumns(hashes).select(*lines.columns, "n", "u", F.posexplode(every).alias("way", "key"))
+
+
+def _middle():
+    """What a row of ``_framed`` leaves out."""
+    u, k = F.col("u") - (F.col("way") / SEGMENTS).cast("int"), F.col("way") % SEGMENTS
+    return F.substring("line", u * k + 1, F.col("n") - u * (SEGMENTS - 1))
 
 
 def _leaves(kind) -> int:
@@ -74,9 +84,9 @@ def _bounded(df: DataFrame) -> DataFrame:
 def _near(lines: DataFrame, firsts: DataFrame) -> DataFrame:
     """(h1, h2, near_first): the earliest occurrence of any near line, for lines that have one."""
     long_lines = _hashed(lines.where(F.length("line") >= LEAST).select("line"))
-    framed = long_lines.select("h1", "h2", "line", F.explode(_frames(F.col("line"))).alias("f")).select("h1", "h2", "line", "f.key", "f.mid")
+    framed = _framed(long_lines)
     shared = cut(framed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key"))
-    few = framed.join(_bounded(shared), "key", "left_semi").groupBy("h1", "h2", "key", "mid").agg(F.min("line").alias("line"))
+    few = framed.join(_bounded(shared), "key", "left_semi").withColumn("mid", _middle()).groupBy("h1", "h2", "key", "mid").agg(F.min("line").alias("line"))
     owners = cut(few.join(firsts, ["h1", "h2"]).select("h1", "h2", "key", "mid", "line", "first"))
 
     at = F.sequence(F.lit(1), F.length("mid"))
