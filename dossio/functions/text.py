@@ -257,7 +257,7 @@ def unescape_html(lines: Column) -> Column:
 
 
 def _noise_passes() -> list[str]:
-    """What goes from a preview line, pass by pass: a later pass sees what an earlier one joined."""
+    """What goes from a preview line, pass by pass: a later pass sees what an earlier one joined.  The patterns are fixed values."""
     some = lambda words: "(?:" + "|".join(words) + ")"
     tag = r"</?[a-zA-Z](?:[^>]*>|[a-zA-Z0-9:-]*)"  # closed somewhere on the line, else the name alone
     return [

@@ -411,10 +411,10 @@ def logical_columns(spark, sf_dir):
 
 
 @query(f"""WITH n AS (SELECT DISTINCT p_size % 12 + 1 AS n FROM part), s AS (SELECT n, {SIGNATURE.format('n')} AS sig FROM n)
-    SELECT CAST(a.n AS INTEGER) AS a, CAST(b.n AS INTEGER) AS b, round({SIMILARITY.format('a.sig', 'b.sig')}, 6) AS similarity FROM s a, s b WHERE abs(a.n - b.n) <= 3""")
+    SELECT CAST(a.n AS INTEGER) AS a, CAST(b.n AS INTEGER) AS b, round({SIMILARITY.format('a.sig', 'b.sig')}, 6) AS similarity FROM s a, s b""")
 def signature_similarity(spark, sf_dir):
     n = read(spark, sf_dir, "part").select((F.col("p_size") % 12 + 1).cast("int").alias("a")).distinct()
-    pairs = n.select("a", F.explode(F.sequence(F.col("a") - 3, F.col("a") + 3)).alias("b")).join(n.select(F.col("a").alias("b")), "b", "left_semi")
+    pairs = n.select("a", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("b")).join(n.select(F.col("a").alias("b")), "b", "left_semi")  # 12 counts at most
     return pairs.select("a", "b", r6(G.column_similarity(G.column_signature(F.col("a")), G.column_signature(F.col("b")))).alias("similarity"))
 
 

@@ -47,6 +47,29 @@ def write_tables(tables: DataFrame, at: str) -> None:
     tables.write.mode("overwrite").partitionBy("doc_id").json(f"{at}/tables")
 
 
+def write_images(images: DataFrame, at: str) -> None:
+    """Image artifacts, a row each, by document."""
+    images.write.mode("overwrite").partitionBy("doc_id").json(f"{at}/images")
+
+
+def write_blocks(nodes: DataFrame, at: str) -> None:
+    """The document's tree: a row for each page with its text, image and table nodes in reading order."""
+    nodes.write.mode("overwrite").partitionBy("doc_id").json(f"{at}/blocks")
+
+
+def write_package(parsed, at: str) -> None:
+    """All artifacts of parsed documents (plans/documents.py): documents, tables, images, blocks."""
+    from dossio.operators import jobs
+    from dossio.plans import documents
+
+    d = parsed.documents
+    named = d.select("doc_id", F.lit(".pdf").alias("suffix"), F.col("doc_id").cast("string").alias("filename"), "source_type", "text", F.col("image_count").alias("n_images"), F.col("table_count").alias("n_tables"), "facts")
+    write_documents(named, at)
+    write_tables(documents.table_json(parsed.tables), at)
+    write_images(parsed.images, at)
+    write_blocks(jobs.document_nodes(parsed.texts, parsed.images, parsed.tables.drop("text")), at)
+
+
 def write_outputs(result: DataFrame, audit: DataFrame, at: str) -> None:
     result.write.mode("overwrite").json(f"{at}/outputs/compliance_result")
     audit.write.mode("overwrite").json(f"{at}/outputs/audit_log")
