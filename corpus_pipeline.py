@@ -2,6 +2,13 @@
 
 Quality classifier, SimHash near-dedup, benchmark decontamination, mixing to target weights, token files.
 A stage's rows are written as Parquet in the shared folder and read again by the next.
+
+Defined results, beside those of the operators: a null or empty text is scored like any other, is a copy of every
+other text without words, and has no words to mix, so none reaches the token files; of equal rows one stays after
+near-dedup (ties go to the smallest id, null ids last, then to the text's and the row's hash); the mix may take a
+document several times, and each is a document of the token files; unlike texts that share an id are documents of
+their own; empty tables of documents, labels or benchmark give empty or unfiltered stages; other columns, whatever
+their names, go through all stages but the last.
 """
 
 from __future__ import annotations
