@@ -163,15 +163,15 @@ def fingerprints(docs: DataFrame, rows_per_range: int = 4096) -> DataFrame:
     dealt = own.withColumn("_range", range_of(F.col("doc_id"), bounds)).withColumn("_hash", F.xxhash64("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("_hash"), F.col("text").asc_nulls_first()]
     # the first of each range: the least (doc_id, hash) of the table, and of the rows at each bound
-    heads = dealt.where(F.col("doc_id").isin(bounds)).groupBy("doc_id").agg(F.min("_hash").alias("h")).collect() if bounds else []  # a row for each bound
     low = dealt.select(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "_hash")).alias("m")).first()["m"]
     if low is None:
         return own.sparkSession.createDataFrame([], OUT)
     lent_to = F.when(F.col("doc_id").eqNullSafe(F.lit(low["doc_id"])) & (F.col("_hash") == low["_hash"]), F.lit(n - 1))
-    firsts = {r["doc_id"]: r["h"] for r in heads}
-    if firsts:
-        at = F.create_map(*[F.lit(x) for pair in firsts.items() for x in pair])
-        lent_to = F.coalesce(lent_to, F.when(F.element_at(at, F.coalesce("doc_id", F.lit(bounds[0]))) == F.col("_hash"), F.when(F.col("doc_id").isNotNull(), F.col("_range") - 1)))
+    if bounds:
+        at = own.sparkSession.createDataFrame([(b,) for b in bounds], "bound long")
+        heads = dealt.join(F.broadcast(at), F.col("doc_id") == F.col("bound"), "left_semi").groupBy(F.col("doc_id").alias("head_id")).agg(F.min("_hash").alias("head_hash"))
+        dealt = dealt.join(F.broadcast(heads), F.col("doc_id") == F.col("head_id"), "left")  # MAX_RANGES rows at most, as many as bounds
+        lent_to = F.coalesce(lent_to, F.when(F.col("head_hash") == F.col("_hash"), F.col("_range") - 1))
     places = F.filter(F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("lent")), F.struct(lent_to.cast("int").alias("r"), F.lit(True).alias("lent"))), lambda x: x["r"].isNotNull())
     both = dealt.select("doc_id", "text", "_hash", F.explode(places).alias("p")).select("doc_id", "text", "_hash", F.col("p.r").alias("_range"), F.col("p.lent").alias("_lent"))
     ranged = both.repartitionById(n, F.col("_range")).sortWithinPartitions("_lent", *order)
