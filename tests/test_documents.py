@@ -22,12 +22,6 @@ def table(x0, y0, x1, rows):
     return {"bbox": [x0, y0, x1, y0 + 20.0 * len(rows)], "physical_cols": n, "rows": made}
 
 
-def pages_of(raw):
-    """A reader from bytes to page rows, as a PDF library's would be."""
-    for k, text in enumerate(raw.decode().split("\f"), 1):
-        yield {"page": k, "width": 600.0, "height": 800.0, "blocks": [block(line, 50, 100 + 30 * i, 300, 112 + 30 * i) for i, line in enumerate(text.split("\n"))], "words": [], "drawings": [], "ruled_tables": []}
-
-
 def made(spark):
     body = [[f"k{i}", f"{i} mg", f"{i}.5"] for i in range(14)]
     first = {"doc_id": 1, "page": 1, "width": 600.0, "height": 800.0, "blocks": [block("Table 1 Doses", 50, 240, 300, 252), block("", 300, 30, 400, 90, 1), block("Figure 1 of it", 300, 95, 400, 105)], "words": [{"x0": 310.0, "y0": 40.0, "x1": 380.0, "y1": 52.0, "text": "label text"}], "drawings": [], "ruled_tables": [table(50.0, 300.0, 550.0, [["Name", "Dose", "Strength"], *body])]}
@@ -66,6 +60,13 @@ def test_package_and_report(spark, tmp_path):
 
 
 def test_reader_hook(spark):
+    def pages_of(raw):
+        """A reader from bytes to page rows, as a PDF library's would be; local, so workers get it by value."""
+        for k, text in enumerate(raw.decode().split("\f"), 1):
+            boxes = [(line, [50.0, 100.0 + 30 * i, 300.0, 112.0 + 30 * i]) for i, line in enumerate(text.split("\n"))]
+            blocks = [{"type": 0, "bbox": b, "lines": [{"bbox": b, "spans": [{"text": t, "size": 10.0, "bbox": b}]}]} for t, b in boxes]
+            yield {"page": k, "width": 600.0, "height": 800.0, "blocks": blocks, "words": [], "drawings": [], "ruled_tables": []}
+
     files = spark.createDataFrame([(5, b"Drug Name: Y\nline two\fsecond page")], "doc_id long, content binary")
     pages = evidence.from_content(files, pages_of)
     assert pages.count() == 2
