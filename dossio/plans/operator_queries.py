@@ -638,7 +638,7 @@ def viewer_boxes(spark, sf_dir):
 def document_trees(spark, sf_dir):
     """SRT-03 SET-08: text, image and table nodes of a page in reading order."""
     b = line_boxes(spark, sf_dir)
-    part = lambda flag, letter, ident: b.where(F.col("l_returnflag") == flag).select("doc_id", "page", "bbox", F.concat(F.lit(letter), F.col("ordinal").cast("string")).alias(ident))
+    part = lambda flag, letter, ident: b.where(F.col("l_returnflag") == flag).select("doc_id", "page", "ordinal", "bbox", F.concat(F.lit(letter), F.col("ordinal").cast("string")).alias(ident))
     made = jobs.document_nodes(part("N", "b", "block_id"), part("R", "i", "image_id"), part("A", "t", "table_id"))
     return made.select("doc_id", F.array_join(F.transform("nodes", lambda n: F.concat_ws(":", n["kind"], n["id"])), ",").alias("nodes"))
 

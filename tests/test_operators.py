@@ -196,6 +196,15 @@ def test_words(spark):
     assert head == ["a", "b"]
 
 
+def test_nodes_of_one_place_keep_their_order(spark):
+    at = spark.createDataFrame([(1, 1, n, f"b{n}", [5.0, 5.0, 9.0, 9.0]) for n in (10, 2, 1)], "doc_id int, page int, ordinal int, block_id string, bbox array<double>")
+    none = lambda name: at.where("false").withColumnRenamed("block_id", name)
+    nodes = jobs.document_nodes(at, none("image_id"), none("table_id")).first()["nodes"]
+    assert [n["id"] for n in nodes] == ["b1", "b2", "b10"]
+    plain = jobs.document_nodes(at.drop("ordinal"), none("image_id"), none("table_id")).first()["nodes"]
+    assert [n["id"] for n in plain] == ["b1", "b10", "b2"]
+
+
 def test_consistency_and_mismatch(spark):
     docs = spark.createDataFrame([(1, 0, "m1.pdf", "Drug Name: X"), (2, 1, "m2.pdf", "Drug Name: Y\nStrength: 5"), (3, 2, "form12.pdf", "Drug Name: Y"), (4, 3, "z.pdf", None)], "doc_id int, idx int, filename string, text string")
     rows = {r["fact"]: r for r in facts.consistency(docs).collect()}
