@@ -196,6 +196,17 @@ def test_words(spark):
     assert head == ["a", "b"]
 
 
+def test_edges_are_pruned_from_rows_worked_out_once(spark):
+    """An array that stands in its own lambdas is worked out for every element, and its first row for every row once more."""
+    kind = "array<struct<text:string,n_words:int,words:array<string>>>"
+    row = lambda t: (t, len(t.split()), t.split())
+    cases = [["表 4 Doses", "x text", "a b", "2.1 Scope", ""], ["", ""], ["x"], [], ["x y", "如下图"], ["表 1", "a b", "c d"]]
+    df = spark.createDataFrame([(i, [row(t) for t in c]) for i, c in enumerate(cases)], f"i int, given {kind}")
+    made = df.select("i", words.prune_edges(F.col("given")).alias("r"))
+    assert [[x["text"] for x in r["r"]] for r in made.orderBy("i").collect()] == [["x text", "a b"], [""], ["x"], [], ["x y"], ["a b", "c d"]]
+    assert made._jdf.queryExecution().analyzed().expressions().mkString().count("given") == 1
+
+
 def test_nodes_of_one_place_keep_their_order(spark):
     at = spark.createDataFrame([(1, 1, n, f"b{n}", [5.0, 5.0, 9.0, 9.0]) for n in (10, 2, 1)], "doc_id int, page int, ordinal int, block_id string, bbox array<double>")
     none = lambda name: at.where("false").withColumnRenamed("block_id", name)
