@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from dossio import report
 from dossio.config import Settings
-from dossio.plans import documents
+from dossio.plans import document_queries, documents
 from dossio.sources import evidence, sinks
 
 
@@ -86,3 +86,16 @@ def test_borderless_tables(spark):
     page = {"doc_id": 1, "page": 1, "width": 600.0, "height": 800.0, "blocks": [], "words": ws, "drawings": [], "ruled_tables": []}
     found = documents.table_evidence(spark.createDataFrame([page], evidence.EVIDENCE), borderless=True).first()
     assert found["physical_cols"] == 3 and [c["text"] for c in found["rows"][2]["cells"]] == ["c20", "c21", "c22"]
+
+
+def test_long_tables_push_down_what_stands_below_them(spark, tmp_path):
+    """Orders of 2, 17 and 40 lines: a paragraph that a table covers is dropped as its text."""
+    spark.createDataFrame([(i, 1, "1-URGENT") for i in (2, 17, 40)], "o_orderkey long, o_custkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(i, n, n, n, 5.0, 1.0, "N", "O") for i in (2, 17, 40) for n in range(i)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    pages = document_queries.evidence(spark, f"file://{tmp_path}").orderBy("page").collect()
+    assert [len(p["ruled_tables"][0]["rows"]) for p in pages] == [2, 17, 40]
+    for p in pages:
+        paragraph, image, caption, number = [b["bbox"] for b in p["blocks"][-4:]]
+        assert p["ruled_tables"][0]["bbox"][3] < paragraph[1] < image[1] < caption[1] < number[1] < number[3] < p["height"]
+    assert pages[0]["height"] == 800.0
