@@ -43,6 +43,17 @@ def test_parse(spark):
     assert "continued_from" not in records["tbl_001"] and records["tbl_001"]["block_type"] == "table" and records["tbl_002"]["is_continuation"] is True
 
 
+def test_tables_alone_leave_no_steps_behind(spark):
+    """The final records and two lists of documents stay in the shared folder; what only led to them is gone, and no text is worked out."""
+    at = Path(spark.sparkContext.getConf().get("spark.checkpoint.dir").removeprefix("file://"))
+    steps = lambda: {p for p in at.glob("**/*") if p.is_dir() and any(p.glob("*part-*"))}
+    before = steps()
+    records, found, accepted = documents.parse_tables(made(spark))
+    assert len(steps() - before) == 3
+    assert {r["table_id"]: r["continued_from"] for r in records.collect()} == {"tbl_001": None, "tbl_002": "tbl_001"}
+    assert (found.count(), accepted.count()) == (2, 2)
+
+
 def test_columns_come_from_the_parent(spark):
     accepted, rounds = documents.judged_tables(documents.table_evidence(made(spark)), documents.text_blocks.scan_context_blocks(made(spark)), documents.text_blocks.scan_drawings(made(spark)).select("doc_id", "page", "bbox"), Settings())
     second = accepted.where("page = 2").first()
