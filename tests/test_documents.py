@@ -60,6 +60,18 @@ def test_columns_come_from_the_parent(spark):
     assert rounds >= 2 and second["col_count"] == 3 and second["identity"] == "CONTINUATION" and second["header_inherited"]
 
 
+def test_only_documents_whose_parents_changed_are_judged_again(spark, monkeypatch):
+    """Document 3 has no table that goes on, so no round after the first works its grids out."""
+    alone = made(spark).where("doc_id = 1 AND page = 1").withColumn("doc_id", F.lit(3).cast("long"))
+    steps, written = [], documents.written
+    monkeypatch.setattr(documents, "written", lambda df, label: steps.append(written(df, label)) or steps[-1])
+    monkeypatch.setattr(documents, "remove", lambda *frames: None)
+    records = documents.parse_tables(made(spark).unionByName(alone))[0]
+    judged = [{r["doc_id"] for r in s.select("doc_id").collect()} for s in steps if "filled_ratio" in s.columns]
+    assert judged[0] == {1, 3} and len(judged) >= 2 and all(d == {1} for d in judged[1:])
+    assert {(r["doc_id"], r["table_id"]): r["continued_from"] for r in records.collect()} == {(1, "tbl_001"): None, (1, "tbl_002"): "tbl_001", (3, "tbl_001"): None}
+
+
 def test_package_and_report(spark, tmp_path):
     made(spark).write.parquet(f"{tmp_path}/evidence")
     text = report.run(spark, f"file://{tmp_path}/evidence", f"file://{tmp_path}/out")
