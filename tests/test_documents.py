@@ -122,3 +122,36 @@ def test_long_tables_push_down_what_stands_below_them(spark, tmp_path):
         paragraph, image, caption, number = [b["bbox"] for b in p["blocks"][-4:]]
         assert p["ruled_tables"][0]["bbox"][3] < paragraph[1] < image[1] < caption[1] < number[1] < number[3] < p["height"]
     assert pages[0]["height"] == 800.0
+
+
+def test_page_content_is_what_the_steps_give(spark):
+    """Texts and images of a page, without a join, against the steps that explode them; with an image of several lines of words, a copy of an image, and a block twice."""
+    ws = [{"x0": x, "y0": y, "x1": x + 20, "y1": y + 8, "text": t} for x, y, t in [(340.0, 40.0, "right"), (310.0, 41.0, "left"), (310.0, 60.0, "below"), (310.0, 70.0, " "), (20.0, 700.0, "outside")]]
+    blocks = [block("One", 50, 100, 80, 112), block("line", 84, 100, 110, 112), block("One", 50, 100, 80, 112), block("", 300, 30, 400, 90, 1), block("", 100, 300, 500, 700, 1), block("", 100, 300, 501, 700, 1), block("1", 290, 780, 300, 790)]
+    page = {"doc_id": 1, "page": 1, "width": 600.0, "height": 800.0, "blocks": blocks, "words": ws, "drawings": [], "ruled_tables": []}
+    pages = spark.createDataFrame([page, page | {"page": 2, "blocks": []}, page | {"page": 3, "words": []}], evidence.EVIDENCE)
+    content = documents.page_content(pages)
+    got = {r["page"]: r for r in content.collect()}
+    assert "Exchange" not in content._jdf.queryExecution().executedPlan().toString()
+    assert (got[2]["texts"], got[2]["images"], got[2]["recovered"]) == ([], [], 0)
+    assert any("left right below" in t["text"] for t in got[1]["texts"]) and (got[1]["recovered"], got[3]["recovered"]) == (1, 0)
+    assert [i["image_id"] for i in got[1]["images"]] == ["img_p1_001"] and (got[1]["duplicates"], got[3]["duplicates"], len(got[3]["images"])) == (1, 1, 2)
+    found = documents.text_blocks.scan_images(pages)
+    boxes = found.select("doc_id", "page", F.col("image_id").alias("box_id"), "bbox")
+    near = documents.words.lines_of_words(documents.words.words_in_boxes(documents.text_blocks.scan_words(pages), boxes), ["doc_id", "page", "box_id"])
+    said = pages.select("page", F.explode(F.transform(F.filter("blocks", lambda b: b["type"] == 1), lambda b: documents.words.text_in_box(F.col("words"), b["bbox"]))).alias("t")).where("t <> ''")
+    assert sorted((r["page"], r["text"]) for r in near.collect()) == sorted((r["page"], r["t"]) for r in said.collect()) == [(1, "left right\nbelow")]
+    steps = documents.text_blocks.merge_blocks(documents.text_blocks.scan_lines(pages), pages).where("page = 3").orderBy("ordinal").collect()
+    assert [(t["block_id"], t["text"], t["bbox"], t["indices"]) for t in got[3]["texts"]] == [(r["block_id"], r["text"], r["bbox"], r["indices"]) for r in steps]
+    assert {r["n_merged"] for r in steps} == {got[3]["merged"]}
+
+
+def test_images_are_read_by_an_engine(spark):
+    def engine(raw):
+        import pandas as pd
+
+        return pd.DataFrame({"text": ["read by it"] * len(raw), "confidence": [0.99] * len(raw)})
+
+    pages = made(spark).withColumn("words", F.expr("filter(words, w -> false)"))
+    docs = {r["doc_id"]: r for r in documents.parse(pages, engine=engine).documents.collect()}
+    assert docs[1]["image_text_recovered_count"] == 1 and "read by it" in docs[1]["text"]
